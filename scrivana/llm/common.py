@@ -6,7 +6,6 @@ import atexit
 import contextlib
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,10 +65,9 @@ def packed(spark: SparkSession, docs: DataFrame, *keep: str) -> DataFrame:
     The locator is the hash of file and row number. Rows that aren't read straight from files are
     written to the shared folder first, which gives them both.
     """
-    if "_metadata" not in docs.columns:
-        with contextlib.suppress(AnalysisException):
-            found = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("_metadata.file_path").alias("p"), F.col("_metadata.row_index").alias("i"))
-            return found.select(F.xxhash64("p", "i").alias("loc"), "row")
+    if "_metadata" not in docs.columns and "_metadata" in docs._jdf.queryExecution().analyzed().metadataOutput().toString():
+        found = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("_metadata.file_path").alias("p"), F.col("_metadata.row_index").alias("i"))
+        return found.select(F.xxhash64("p", "i").alias("loc"), "row")
     written = staged(spark, docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row")), "rows")
     return written.select(F.xxhash64(F.col("_metadata.file_path"), F.col("_metadata.row_index")).alias("loc"), "row")
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scrivana.llm import bpe, exact_dedup
+from scrivana.llm import bpe, exact_dedup, fingerprints, mixing, secrets
 from scrivana.llm.common import documents
 
 
@@ -18,8 +18,20 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.op3(spark, documents(spark, sf_dir))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.op5(spark, documents(spark, sf_dir))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.op7(spark, documents(spark, sf_dir))
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.op9(spark, documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_byte_bpe, op3_exact_dedup)}
+    return {f.__name__: f for f in (op2_byte_bpe, op3_exact_dedup, op5_fingerprints, op7_mixing, op9_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
