@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scrivana.llm import bpe, exact_dedup, fingerprints, mixing, secrets
+from scrivana.llm import bpe, exact_dedup, fingerprints, mixing, secrets, spans, toxicity
 from scrivana.llm.common import documents
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op1(spark, documents(spark, sf_dir), sf_dir)
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.op2(spark, documents(spark, sf_dir))
 
@@ -30,8 +34,12 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.op9(spark, documents(spark, sf_dir))
 
 
+def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.op10(spark, documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_byte_bpe, op3_exact_dedup, op5_fingerprints, op7_mixing, op9_secrets)}
+    return {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op3_exact_dedup, op5_fingerprints, op7_mixing, op9_secrets, op10_sentence_spans)}
 
 
 def oracle_sql() -> dict[str, str]:
