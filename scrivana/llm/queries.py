@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scrivana.llm import bpe, exact_dedup, fingerprints, mixing, secrets, spans, toxicity
+from scrivana.llm import bpe, exact_dedup, fingerprints, mixing, near_dedup, quality, secrets, spans, toxicity
 from scrivana.llm.common import documents
 
 
@@ -22,10 +22,18 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.op3(spark, documents(spark, sf_dir))
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.op4(spark, documents(spark, sf_dir))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.op5(spark, documents(spark, sf_dir))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.op6(spark, documents(spark, sf_dir), sf_dir)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op7(spark, documents(spark, sf_dir))
 
@@ -39,7 +47,7 @@ def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op3_exact_dedup, op5_fingerprints, op7_mixing, op9_secrets, op10_sentence_spans)}
+    return {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op3_exact_dedup, op4_minhash, op5_fingerprints, op6_quality, op7_mixing, op9_secrets, op10_sentence_spans)}
 
 
 def oracle_sql() -> dict[str, str]:
