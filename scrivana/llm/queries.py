@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scrivana.llm import bpe, exact_dedup, fingerprints, mixing, near_dedup, quality, secrets, spans, toxicity
+from scrivana.llm import bpe, exact_dedup, fingerprints, mixing, near_dedup, quality, secrets, spans, suffix_dedup, toxicity
 from scrivana.llm.common import documents
 
 
@@ -38,6 +38,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op7(spark, documents(spark, sf_dir))
 
 
+def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.op8(spark, documents(spark, sf_dir))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.op9(spark, documents(spark, sf_dir))
 
@@ -47,7 +51,7 @@ def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op3_exact_dedup, op4_minhash, op5_fingerprints, op6_quality, op7_mixing, op9_secrets, op10_sentence_spans)}
+    return {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op3_exact_dedup, op4_minhash, op5_fingerprints, op6_quality, op7_mixing, op8_suffix_array, op9_secrets, op10_sentence_spans)}
 
 
 def oracle_sql() -> dict[str, str]:
