@@ -1,19 +1,23 @@
 """MinHash near-dedup with odd sketches.
 
 1. Sets: each text's distinct five-word shingles as 64-bit hashes; SAMPLES MinHash samples, in bands of ROWS;
-   and an odd sketch: every sample sets (flips) one bit of SKETCH_BITS, so the population count of the XOR of
-   two sketches tells how many samples differ, most precisely at high similarity.
+   and two odd sketches. In the first every sample flips one bit of SKETCH_BITS, so the population count of the
+   XOR of two sketches tells how many samples differ, most precisely at high similarity. In the second the
+   whole set is the sample: every shingle flips one bit of SET_BITS, which tells the size of the symmetric
+   difference without any error of sampling, until large differences fill the bitmap.
 2. Equal sets become one class, combined map-side, so groups of copies weigh nothing from here on.
-3. Classes that agree on a band share a bucket. Each bucket links its members to its smallest one (the hub), so
-   a bucket of any size gives one row per member. Links whose sketches are too far apart are dropped; the
-   others are confirmed on the full sets, and components are found.
+3. Classes that agree on a band share a bucket. Each bucket links its members to one of them (the hub), so
+   a bucket of any size gives one row per member. The hub is the member with the most company over all of its
+   buckets: the text that copies stray from in all directions. Links whose sketches are too far apart are
+   dropped; the others are confirmed on the full sets, and components are found.
 4. The rest: within a bucket, two members other than the hub may be linked though not through the hub. Only
    pairs in different components matter. Such buckets are cut into chunks of about CHUNK members, and each pair
-   of chunks is compared by sketches alone, in memory; only pairs that the sketches pass become rows. They are
-   confirmed on the full sets, and components are found again.
+   of chunks is compared by sketches alone, in memory; only pairs that the sketches pass become rows, each in the
+   first bucket that it shares. They are confirmed on the full sets, and components are found again.
 
-At a similarity of 0.85, 25 bands of 5 miss a pair with probability 4e-7. A sketch is passed at an estimated
-0.6, more than six standard deviations below 0.85.
+At a similarity of 0.85, 25 bands of 5 miss a pair with probability 4e-7. The first sketch passes a pair at an
+estimated 0.6, more than six standard deviations below 0.85; the second up to SIGMAS standard deviations above the
+count that is expected of the largest difference that 0.85 allows.
 
 Defined cases: null and blank texts have an empty set, linked with nothing, and are their own component; with
 fewer words than a shingle the words as one are the set; a null doc_id never is a component's smallest unless
@@ -33,7 +37,7 @@ from scrivana.llm.common import packed, staged
 from scrivana.llm.graph import components
 
 SHINGLE, THRESHOLD = 5, 85
-BANDS, ROWS, SKETCH_BITS = 25, 5, 512
+BANDS, ROWS, SKETCH_BITS, SET_BITS, SIGMAS = 25, 5, 512, 1024, 6
 SAMPLES = BANDS * ROWS
 #: Sketches whose estimate is below this aren't confirmed.
 PASS = 0.6
@@ -105,15 +109,30 @@ def estimate(bits: int) -> float:
     return 1 + SKETCH_BITS / (4 * SAMPLES) * float(np.log(1 - share))
 
 
+def set_sketch(found: np.ndarray) -> np.ndarray:
+    """SET_BITS bits, as 64-bit words; each shingle flips one."""
+    odd = np.bincount((found % np.uint64(SET_BITS)).astype(np.int64), minlength=SET_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def most_set_bits(total):
+    """The largest passed population count for two sets with `total` shingles together; of numbers or a Column."""
+    n, differ = float(SET_BITS), total * ((100.0 - THRESHOLD) / (100.0 + THRESHOLD))
+    two, four = (differ * float(np.log1p(-2 / n))), (differ * float(np.log1p(-4 / n)))
+    exp = F.exp if isinstance(total, Column) else np.exp
+    spread = (n / 4 * (1 + (n - 1) * exp(four) - n * exp(2 * two)) + 1e-6) ** 0.5
+    return n / 2 * (1 - exp(two)) + SIGMAS * spread + 2
+
+
 def signatures(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows, signatures): loc, doc_id, n_shingles, node (hash of the set), bands, sketch; written once."""
+    """(rows, signatures): loc, doc_id, n_shingles, node (hash of the set), bands, sketch, bitmap; written once."""
     rows = packed(spark, docs)
 
     def work(batches):
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
-                n, node, keys, sketches = [], [], [], []
+                n, node, keys, sketches, bitmaps = [], [], [], [], []
                 for text in part.column("text").to_pylist():
                     found = shingles(text) if text else np.zeros(0, np.uint64)
                     n.append(len(found))
@@ -121,10 +140,11 @@ def signatures(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFra
                     node.append(None if mins is None else xxhash.xxh3_128_digest(found.tobytes()))
                     keys.append(None if mins is None else bands(mins))
                     sketches.append(None if mins is None else odd_sketch(mins))
-                yield pa.RecordBatch.from_arrays([part.column("loc"), part.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], names=["loc", "doc_id", "n_shingles", "node", "bands", "sketch"])
+                    bitmaps.append(None if mins is None else set_sketch(found))
+                yield pa.RecordBatch.from_arrays([part.column("loc"), part.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64())), pa.array(bitmaps, pa.list_(pa.int64()))], names=["loc", "doc_id", "n_shingles", "node", "bands", "sketch", "bitmap"])
 
     slim = rows.select("loc", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").alias("text"))
-    return rows, staged(spark, slim.mapInArrow(work, "loc bigint, doc_id bigint, n_shingles bigint, node binary, bands array<bigint>, sketch array<bigint>"), "signatures")
+    return rows, staged(spark, slim.mapInArrow(work, "loc bigint, doc_id bigint, n_shingles bigint, node binary, bands array<bigint>, sketch array<bigint>, bitmap array<bigint>"), "signatures")
 
 
 def differing(a: Column, b: Column) -> Column:
@@ -181,18 +201,21 @@ def common_of(a: np.ndarray, b: np.ndarray) -> int:
 def hub_pairs(buckets: DataFrame, classes: DataFrame) -> DataFrame:
     """Each member with its bucket's hub, where the sketches pass."""
     pairs = buckets.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    of = lambda end: classes.select(F.col("node").alias(end), F.col("sketch").alias(f"of_{end}"))
-    return pairs.join(of("b"), "b").join(of("a"), "a").where(differing(F.col("of_a"), F.col("of_b")) <= most_bits()).select("a", "b")
+    of = lambda end: classes.select(F.col("node").alias(end), F.struct("sketch", "bitmap", "n").alias(f"of_{end}"))
+    both = pairs.join(of("b"), "b").join(of("a"), "a")
+    near = differing(F.col("of_a.sketch"), F.col("of_b.sketch")) <= most_bits()
+    nearer = differing(F.col("of_a.bitmap"), F.col("of_b.bitmap")) <= most_set_bits((F.col("of_a.n") + F.col("of_b.n")).cast("double"))
+    return both.where(near & nearer).select("a", "b")
 
 
 def rest_pairs(buckets: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs of members other than the hub, in different components, where the sketches pass."""
     members = buckets.where("node <> hub").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     mixed_keys = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high").select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
-    members = members.join(mixed_keys, "key").join(classes.select("node", "sketch"), "node").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    members = members.join(mixed_keys, "key").join(classes.select("node", "bands", "sketch", "bitmap", F.col("n").alias("size")), "node").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
-    spread = members.select("key", "chunk", "node", "label", "sketch", other)
-    cells = spread.groupBy("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j")).agg(F.collect_list(F.struct("node", "label", "chunk", "sketch")).alias("members"))
+    spread = members.select("key", "chunk", "node", "label", "bands", "sketch", "bitmap", "size", other)
+    cells = spread.groupBy("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j")).agg(F.collect_list(F.struct("node", "label", "chunk", "bands", "sketch", "bitmap", "size")).alias("members"))
     limit = most_bits()
 
     def work(batches):
@@ -200,6 +223,8 @@ def rest_pairs(buckets: DataFrame, classes: DataFrame, labels: DataFrame) -> Dat
             for k in range(b.num_rows):
                 found, crossing = b.column("members")[k].as_py(), b.column("i")[k] != b.column("j")[k]
                 sketches = np.array([m["sketch"] for m in found], dtype=np.int64)
+                key, keys = b.column("key")[k].as_py(), np.array([m["bands"] for m in found], dtype=np.int64)
+                bitmaps, size = np.array([m["bitmap"] for m in found], dtype=np.int64), np.array([m["size"] for m in found], dtype=np.float64)
                 numbers = {x: i for i, x in enumerate({m["label"] for m in found})}
                 label, chunk = np.array([numbers[m["label"]] for m in found]), np.array([m["chunk"] for m in found])
                 first, second = [], []
@@ -208,6 +233,8 @@ def rest_pairs(buckets: DataFrame, classes: DataFrame, labels: DataFrame) -> Dat
                     if ok.any():
                         near = np.flatnonzero(ok)
                         near = near[np.bitwise_count(sketches[x + 1 + near] ^ sketches[x]).sum(1) <= limit]
+                        near = near[np.bitwise_count(bitmaps[x + 1 + near] ^ bitmaps[x]).sum(1) <= most_set_bits(size[x] + size[x + 1 + near])]
+                        near = near[keys[x, (keys[x + 1 + near] == keys[x]).argmax(1)] == key]
                         first += [found[x]["node"]] * len(near)
                         second += [found[x + 1 + y]["node"] for y in near]
                 if first:
@@ -221,12 +248,15 @@ def near_dedup(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFra
     """(rows, decisions, links): decisions hold loc, doc_id, n_shingles, component_id, keep_loc; links are between sets."""
     rows, found = signatures(spark, docs)
     place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "loc")
-    classes = found.where("n_shingles > 0").groupBy("node").agg(F.min(F.struct(place.alias("place"), "bands", "sketch")).alias("of"))
-    classes = staged(spark, classes.select("node", F.col("of.place").alias("place"), F.col("of.place.loc").alias("loc"), "of.bands", "of.sketch"), "classes")
-    # Everything above one member; the hub comes from partial minima, so no bucket meets in one task.
+    classes = found.where("n_shingles > 0").groupBy("node").agg(F.min(F.struct(place.alias("place"), "bands", "sketch", "bitmap", F.col("n_shingles").alias("n"))).alias("of"))
+    classes = staged(spark, classes.select("node", F.col("of.place").alias("place"), F.col("of.place.loc").alias("loc"), "of.bands", "of.sketch", "of.bitmap", "of.n"), "classes")
+    # Buckets of several members; sizes and hubs come from partial aggregates, so no bucket meets in one task.
     keyed = classes.select("node", F.explode("bands").alias("key"))
-    hubs = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "hub")
-    buckets = staged(spark, keyed.join(hubs, "key"), "buckets")
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    several = staged(spark, keyed.join(sizes, "key"), "several")
+    company = several.groupBy("node").agg(F.sum("size").alias("company"))
+    hubs = several.join(company, "node").groupBy("key").agg(F.max_by("node", F.struct("company", "node")).alias("hub"))
+    buckets = staged(spark, several.select("key", "node").join(hubs, "key"), "buckets")
     links = confirmed(spark, rows, classes, staged(spark, hub_pairs(buckets, classes), "hub-pairs"))
     labels = components(spark, links)
     more = staged(spark, rest_pairs(buckets, classes, labels), "rest-pairs")
