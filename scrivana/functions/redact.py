@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from scrivana.functions.uri import SENSITIVE, mask_assignments
+from scrivana.functions.uri import SENSITIVE
 
 # Names whose fields a rendered artifact leaves out.
 HIDDEN = "approval|credential|secret|token|source.?bod|hash|digest"
@@ -56,6 +56,6 @@ def without_hidden(text: Column, hidden: str = HIDDEN) -> Column:
 
 
 def projected(value: Column, *fields: str) -> Column:
-    """JSON of some fields of a VARIANT only; those that are missing are null. String values are masked."""
+    """JSON of some fields of a VARIANT only; those that are missing are null."""
     parts = [F.concat(F.lit(f'"{f}":'), F.coalesce(F.to_json(F.try_variant_get(value, f"$['{f}']", "variant")), F.lit("null"))) for f in fields]
-    return mask_assignments(F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")))
+    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))

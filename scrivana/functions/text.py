@@ -163,9 +163,14 @@ def _compatible(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
+def compatible(text: Column) -> Column:
+    """Unicode's compatibility composition, which only text beyond ASCII needs."""
+    return F.when(text.rlike(r"[^\x00-\x7F]"), _compatible(text)).otherwise(text)
+
+
 def quote_key_full(text: Column) -> Column:
-    """quote_key after Unicode's compatibility composition, which only text beyond ASCII needs."""
-    return quote_key(F.when(text.rlike(r"[^\x00-\x7F]"), _compatible(text)).otherwise(text))
+    """quote_key after compatibility composition."""
+    return quote_key(compatible(text))
 
 
 _ATTRIBUTION, _ELISION = r"(?U)\s+[—–-]{1,2}\s+[^—–]*$", r"\[\s*(?:\.\.\.|…)\s*\]|\.\.\.|…"
@@ -176,9 +181,9 @@ def quote_core(quote: Column) -> Column:
     return F.btrim(trimmed(replaced(quote, (_ATTRIBUTION, ""))), F.lit(QUOTE_GLYPHS + " "))
 
 
-def fragments(quote: Column, key=quote_key) -> Column:
+def fragments(quote: Column) -> Column:
     """The wordings between a quote's elisions, without punctuation at their ends; empty ones are left out."""
-    parts = F.transform(F.split(quote, _ELISION), lambda p: F.btrim(key(p), F.lit(".,;:!?¡¿ ")))
+    parts = F.transform(F.split(quote, _ELISION), lambda p: F.btrim(quote_key(p), F.lit(".,;:!?¡¿ ")))
     return F.filter(parts, lambda p: p != "")
 
 

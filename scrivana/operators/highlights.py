@@ -35,10 +35,10 @@ def clippings(files: DataFrame, title: str = "", author: str = "") -> DataFrame:
     entry = files.select("path", F.posexplode(F.split(F.regexp_replace("text", "^﻿", ""), CLIPPING_RULE)).alias("pos", "entry"))
     lines = F.transform(F.split(replaced(F.col("entry"), (r"\A\n+|\n+\z", "")), r"\r?\n"), lambda x: replaced(x, (r"(?U)\s+\z", "")))
     rows = entry.withColumn("lines", lines).where(F.size("lines") >= 3)
-    meta = F.lower(trimmed(F.col("lines")[1]))
+    meta = F.lower(trimmed(F.get("lines", F.lit(1))))
     body = trimmed(F.array_join(F.slice("lines", F.lit(3), F.size("lines")), "\n"))
     kind = F.when(F.contains(meta, F.lit("your note")), "note").when(F.contains(meta, F.lit("your bookmark")), "bookmark").otherwise("highlight")
-    rows = rows.select("path", "pos", trimmed(F.col("lines")[0]).alias("head"), body.alias("text"), located(meta).alias("location"), kind.alias("kind"))
+    rows = rows.select("path", "pos", trimmed(F.get("lines", F.lit(0))).alias("head"), body.alias("text"), located(meta).alias("location"), kind.alias("kind"))
     rows = rows.where((F.col("text") != "") & (F.col("kind") != "bookmark") & title_matches(F.col("head"), F.lit(title), F.lit(author)))
     return attach_notes(rows.drop("head"), "path")
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scrivana.functions.text import checkable, fragments, quote_core, quote_key, replaced
+from scrivana.functions.text import checkable, compatible, fragments, quote_core, quote_key, replaced
 
 #: Words in a run that fragments and texts are joined on.
 RUN = 4
@@ -35,9 +35,9 @@ def islands(df: DataFrame, partition: str, order: str, value: Column) -> DataFra
     return df.withColumn("_start", start).withColumn("island", F.sum("_start").over(w).cast("long")).drop("_start")
 
 
-def quote_fragments(quotes: DataFrame, *keys: str, text: str = "text", key=quote_key) -> DataFrame:
-    """(keys, frag_pos, frag, long_enough) of quotes; frag_pos counts from 0."""
-    parts = fragments(quote_core(F.col(text)), key)
+def quote_fragments(quotes: DataFrame, *keys: str, text: str = "text", full: bool = False) -> DataFrame:
+    """(keys, frag_pos, frag, long_enough) of quotes; frag_pos counts from 0. full: after compatibility composition."""
+    parts = fragments(quote_core(compatible(F.col(text)) if full else F.col(text)))
     found = quotes.select(*keys, F.posexplode(parts).alias("frag_pos", "frag"))
     return found.withColumn("long_enough", F.size(checkable(F.array("frag"))) > 0)
 

@@ -222,7 +222,7 @@ def approvals(spark: SparkSession, d: str) -> DataFrame:
 
 
 APPROVALS = """
-SELECT o_orderkey::VARCHAR AS plan_id, CASE WHEN s[1] IS NULL OR s[1] <> 1 THEN 'awaiting-plan-approval' WHEN list_contains(s, 2) AND list_contains(s, 3) THEN 'authorized' ELSE 'awaiting-edit-approval' END AS status FROM
+SELECT o_orderkey::VARCHAR AS plan_id, CASE WHEN s[1] IS NULL OR s[1] <> 1 THEN 'awaiting-plan-approval' WHEN list_contains(s, 2) AND s[-1] >= 3 THEN 'authorized' ELSE 'awaiting-edit-approval' END AS status FROM
 (SELECT o_orderkey, (SELECT list(l_linenumber ORDER BY l_linenumber) FROM lineitem WHERE l_orderkey = o_orderkey) AS s FROM orders)"""
 
 QUERIES = {

@@ -37,7 +37,7 @@ def texts(given: DataFrame) -> tuple[DataFrame, DataFrame]:
     Files of an unsupported kind, and of kinds that need a converter of their own, are rejects with a reason.
     """
     kinds = given.withColumn("kind", kind_of(F.col("path")))
-    raw = F.try_validate_utf8(F.decode("content", F.lit("UTF-8")))
+    raw = F.try_validate_utf8(F.decode("content", "UTF-8"))
     read = kinds.where(F.col("kind").isin("text", "html")).withColumn("text", F.when(F.col("kind") == "html", T.strip_html_full(raw)).otherwise(raw))
     out = read.select("path", "kind", "text", T.word_count(F.col("text")).alias("words"), F.length("text").cast("long").alias("chars"), T.extraction_note(F.col("text")).alias("note"))
     reason = F.when(F.col("kind").isNull(), "unsupported input").otherwise("needs a converter")

@@ -9,9 +9,9 @@ from scrivana.functions.text import replaced, trimmed
 
 
 def write_chunks(index: DataFrame, path: str, by: str) -> None:
-    """A folder of text for each document, a line of output for each chunk's text; a rerun replaces only its documents."""
-    rows = index.select(by, "n", F.concat("body", F.lit("\n")).alias("value"))
-    rows.repartition(by).sortWithinPartitions(by, "n").select(by, "value").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("lineSep", "").partitionBy(by).text(path)
+    """A folder of text for each document, its chunks' texts in order; a rerun replaces only its documents."""
+    rows = index.select(by, "n", F.col("body").alias("value"))
+    rows.repartition(by).sortWithinPartitions(by, "n").select(by, "value").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).text(path)
 
 
 def write_index(index: DataFrame, path: str) -> None:
