@@ -19,7 +19,12 @@ from pyspark.sql import functions as F
 
 from scrivana.llm.common import ascii_lower, conf_during, new_folder, packed, staged
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: The state is on disk. Without preallocation, a store takes the space of what it holds.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def digest_log(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -43,7 +48,7 @@ def fold_log(spark: SparkSession, log: DataFrame, digest_bytes: int = 32) -> Dat
         changed.where("copies > 1").write.mode("overwrite").parquet(f"{folder}/changed/epoch={epoch}")
         epochs.append(epoch)
 
-    with conf_during(spark, **{"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}):
+    with conf_during(spark, **STATE):
         query = state.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(sink).start()
         try:
             query.awaitTermination()
