@@ -31,7 +31,7 @@ from scrivana.llm.common import packed
 from scrivana.llm.training import Sample, doc_texts, fold, sample_of
 
 #: The most labelled rows that the classifier is fitted on.
-SAMPLE_ROWS = 8_000
+SAMPLE_ROWS = 5_000
 BUCKETS, PREFIXES, LONGEST = 1 << 19, (4, 5, 6, 7, 8), 40
 #: Buckets that fewer documents have, or whose log odds are nearer to 0 in standard errors, get no weight.
 LEAST_DOCS, LEAST_Z = 4, 3.0
