@@ -32,7 +32,7 @@ from scrivana.llm.common import packed
 from scrivana.llm.training import Sample, doc_texts, fold, sample_of
 
 #: The most labelled rows that the classifier is fitted on, and the most words with vectors of their own.
-SAMPLE_ROWS, MOST_WORDS = 6_000, 30_000
+SAMPLE_ROWS, MOST_WORDS = 3_000, 30_000
 SIZE, NONZERO, REACH, LEAST = 48, 6, 2, 5
 HIDDEN, EPOCHS, RATE, DECAY = 24, 60, 3e-3, 1e-4
 THRESHOLD, FOLDS, HELD_OUT = 0.5, 3, 1
