@@ -211,11 +211,23 @@ SELECT o.conv_id, o.turn, o.text, coalesce(n.note, '') AS note FROM o LEFT JOIN
 
 
 def conversation_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Turns as segments, consolidated to about 80 words; no SQL form, see tests."""
+    """Turns as segments, consolidated to about 80 words."""
     turns = table(spark, d, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.col("role").alias("title"), F.col("text").alias("body")))), lambda s: F.struct(s["title"].alias("title"), s["body"].alias("body"))).alias("s"))
     return segment.numbered(turns, segment.consolidated(F.col("s"), 80), "conv_id").select("conv_id", "n", "title", "words")
 
 
+CONVERSATION_CHUNKS = f"""
+WITH RECURSIVE t AS (SELECT conv_id, role, w, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM (SELECT conv_id, turn, role, len({sql_words('text')}) AS w FROM conversations) WHERE w > 0),
+f AS (
+  SELECT conv_id, r, role, w, w AS c, 1 AS g FROM t WHERE r = 1
+  UNION ALL
+  SELECT t.conv_id, t.r, t.role, t.w, CASE WHEN f.c >= 80 OR (f.c + t.w > 80 AND f.c >= 40) THEN t.w ELSE f.c + t.w END,
+         CASE WHEN f.c >= 80 OR (f.c + t.w > 80 AND f.c >= 40) THEN f.g + 1 ELSE f.g END
+  FROM f JOIN t ON t.conv_id = f.conv_id AND t.r = f.r + 1)
+SELECT conv_id, CAST(g AS BIGINT) AS n, arg_min(role, r) || CASE WHEN count(*) > 1 THEN ' (+' || (count(*) - 1) || ' sections)' ELSE '' END AS title, CAST(sum(w) + 2 * count(*) AS BIGINT) AS words
+FROM f GROUP BY conv_id, g"""
+
+
 def part_links(spark: SparkSession, d: str) -> DataFrame:
     parts = table(spark, d, "part")
     w = Window.partitionBy().orderBy("r_regionkey")
@@ -237,5 +249,5 @@ QUERIES = {
     "parts_related": (parts_related, PARTS_RELATED), "parts_related_pairs": (parts_related_pairs, PARTS_RELATED_PAIRS),
     "benchmark_fragments": (benchmark_fragments, BENCHMARK_FRAGMENTS), "benchmark_containment": (benchmark_containment, BENCHMARK_CONTAINMENT),
     "quote_verdicts": (quote_verdicts, QUOTE_VERDICTS), "conversation_islands": (conversation_islands, CONVERSATION_ISLANDS),
-    "conversation_notes": (conversation_notes, CONVERSATION_NOTES), "conversation_chunks": (conversation_chunks, None), "part_links": (part_links, PART_LINKS),
+    "conversation_notes": (conversation_notes, CONVERSATION_NOTES), "conversation_chunks": (conversation_chunks, CONVERSATION_CHUNKS), "part_links": (part_links, PART_LINKS),
 }
