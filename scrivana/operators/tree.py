@@ -19,7 +19,8 @@ def walk(spark: SparkSession, edges: DataFrame, root: str, max_depth: int = MAX_
     """(pages, gaps) below root out of edges (parent_id, child_id, child_pos, inaccessible), ids as strings.
 
     pages: id, parent_id, depth, walk (array of positions; its order is the walk's). Below a page that was met
-    before, nothing counts: its own children belong to its first meeting.
+    before, nothing counts: its own children belong to its first meeting. Spark bounds a recursive query's rows by
+    spark.sql.cteRecursionRowLimit (a million by default); larger trees need a session with a higher one.
     """
     view = f"edges_{abs(hash((root, max_depth, id(edges))))}"
     edges.createOrReplaceTempView(view)
