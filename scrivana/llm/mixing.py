@@ -129,11 +129,10 @@ def mix(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, seed: int =
     draws: array of (shard, pass, words, order) of the times the document is drawn; order sorts a shard's documents.
     """
     rows = packed(spark, docs)
-    sizes = staged(spark, rows.select("loc", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.source").cast("string").alias("src"), F.size(words(F.col("row.text"))).cast("long").alias("size")), "mix-sizes")
+    sizes = staged(spark, rows.select("loc", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.source").cast("string").alias("src"), F.size(words(F.col("row.text"))).cast("long").alias("size"), F.xxhash64("row.doc_id", "row.text", "row.source").alias("own")), "mix-sizes")
     n_blocks = min(MAX_BLOCKS, max(16, math.ceil(sizes.count() / DOCS_PER_BLOCK)))
-    # By doc_id, so that reruns over the same rows in other files agree.
-    own = F.coalesce("doc_id", "loc")
-    block = F.pmod(F.xxhash64(F.lit(seed), own), F.lit(n_blocks)).alias("block")
+    # By content, so that reruns over the same rows in other files agree.
+    block = F.pmod(F.xxhash64(F.lit(seed), "own"), F.lit(n_blocks)).alias("block")
     sizes = sizes.select("*", block)
     blocks = staged(spark, sizes.groupBy("src", "block").agg(F.sum("size").alias("words")), "mix-blocks")
     goal = staged(spark, targets(blocks.groupBy("src").agg(F.sum("words").alias("source_size")), **policy), "mix-targets")
@@ -151,11 +150,11 @@ def mix(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, seed: int =
     places = leaves.select((F.col("at") + 1).alias("idx"), "shard", F.explode(F.sequence((F.col("end") - F.col("q")).cast("int"), (F.col("end") - 1).cast("int"))).alias("pos"))
     placed = drawn.join(places, ["idx", "pos"]).groupBy("src", "block").agg(F.array_sort(F.collect_list(F.struct("pass", "shard", "part", (F.col("part") == F.col("words")).alias("whole")))).alias("took"))
     # Documents of the blocks. The order within a block decides which documents a partly drawn block gives.
-    running = Window.partitionBy("src", "block").orderBy(F.xxhash64(F.lit(seed), F.lit("in block"), own), "loc").rowsBetween(Window.unboundedPreceding, 0)
+    running = Window.partitionBy("src", "block").orderBy(F.xxhash64(F.lit(seed), F.lit("in block"), "own"), "own", "loc").rowsBetween(Window.unboundedPreceding, 0)
     inside = sizes.withColumn("before", F.sum("size").over(running) - F.col("size"))
     found = inside.join(placed, same(inside, placed) & (inside["block"] == placed["block"]), "left").select(inside["*"], "took")
     words_of = lambda x: F.when(x["whole"], F.col("size")).otherwise(F.greatest(F.lit(0), F.least(F.col("size"), x["part"] - F.col("before"))))
-    draws = F.transform(F.coalesce("took", F.array().cast(placed.schema["took"].dataType)), lambda x: F.struct(x["shard"].alias("shard"), x["pass"].alias("pass"), words_of(x).cast("long").alias("words"), F.xxhash64(F.lit(seed), x["shard"], x["pass"], own).alias("order")))
+    draws = F.transform(F.coalesce("took", F.array().cast(placed.schema["took"].dataType)), lambda x: F.struct(x["shard"].alias("shard"), x["pass"].alias("pass"), words_of(x).cast("long").alias("words"), F.xxhash64(F.lit(seed), x["shard"], x["pass"], F.col("own")).alias("order")))
     found = found.withColumn("draws", F.filter(draws, lambda x: (x["words"] > 0) | (F.col("size") == 0)))
     found = found.join(goal, same(found, goal)).select("loc", "doc_id", "size", "source_size", "target", F.aggregate("draws", F.lit(0).cast("long"), lambda a, x: a + x["words"]).alias("taken"), "draws")
     return rows, found

@@ -222,9 +222,9 @@ def rest_pairs(buckets: DataFrame, classes: DataFrame, labels: DataFrame) -> Dat
         for b in batches:
             for k in range(b.num_rows):
                 found, crossing = b.column("members")[k].as_py(), b.column("i")[k] != b.column("j")[k]
-                sketches = np.array([m["sketch"] for m in found], dtype=np.int64)
+                sketches = np.array([m["sketch"] for m in found], dtype=np.int64).view(np.uint64)
                 key, keys = b.column("key")[k].as_py(), np.array([m["bands"] for m in found], dtype=np.int64)
-                bitmaps, size = np.array([m["bitmap"] for m in found], dtype=np.int64), np.array([m["size"] for m in found], dtype=np.float64)
+                bitmaps, size = np.array([m["bitmap"] for m in found], dtype=np.int64).view(np.uint64), np.array([m["size"] for m in found], dtype=np.float64)
                 numbers = {x: i for i, x in enumerate({m["label"] for m in found})}
                 label, chunk = np.array([numbers[m["label"]] for m in found]), np.array([m["chunk"] for m in found])
                 first, second = [], []
