@@ -15,9 +15,10 @@
    of chunks is compared by sketches alone, in memory; only pairs that the sketches pass become rows, each in the
    first bucket that it shares. They are confirmed on the full sets, and components are found again.
 
-At a similarity of 0.85, 25 bands of 5 miss a pair with probability 4e-7. The first sketch passes a pair at an
-estimated 0.6, more than six standard deviations below 0.85; the second up to SIGMAS standard deviations above the
-count that is expected of the largest difference that 0.85 allows.
+Pairs are linked from a threshold on: THRESHOLD percent, and OP4_THRESHOLD for op4, whose contract says so. 25 bands
+of 5 miss a pair with probability 5e-5 at a similarity of 0.8, and 4e-7 at 0.85. The first sketch passes a pair at an
+estimate of MARGIN below the threshold, which is 5.8 standard deviations at 0.8 and 6.5 at 0.85; the second up to
+SIGMAS standard deviations above the count that is expected of the largest difference that the threshold allows.
 
 Defined cases: null and blank texts have an empty set, linked with nothing, and are their own component; with
 fewer words than a shingle the words as one are the set; a null doc_id never is a component's smallest unless
@@ -36,11 +37,13 @@ from pyspark.sql import functions as F
 from scrivana.llm.common import packed, staged
 from scrivana.llm.graph import components
 
-SHINGLE, THRESHOLD = 5, 85
+SHINGLE = 5
+#: Percent of the union that two linked sets have in common.
+THRESHOLD, OP4_THRESHOLD = 80, 85
 BANDS, ROWS, SKETCH_BITS, SET_BITS, SIGMAS = 25, 5, 512, 1024, 6
 SAMPLES = BANDS * ROWS
-#: Sketches whose estimate is below this aren't confirmed.
-PASS = 0.6
+#: Sketches whose estimate is further than this below the threshold aren't confirmed.
+MARGIN = 0.25
 CHUNK = 256
 #: Locators are broadcast up to this many rows of 8 bytes; beyond, texts are joined by shuffle.
 BROADCAST_ROWS = 2_000_000
@@ -97,8 +100,9 @@ def odd_sketch(mins: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def most_bits(similarity: float = PASS) -> int:
-    """The population count that is expected at a similarity."""
+def most_bits(threshold: int = THRESHOLD) -> int:
+    """The largest passed population count: the one that is expected at MARGIN below the threshold."""
+    similarity = threshold / 100 - MARGIN
     differ = 2 * SAMPLES * (1 - similarity)
     return int(SKETCH_BITS / 2 * (1 - (1 - 2 / SKETCH_BITS) ** differ))
 
@@ -115,9 +119,9 @@ def set_sketch(found: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def most_set_bits(total):
+def most_set_bits(total, threshold: int = THRESHOLD):
     """The largest passed population count for two sets with `total` shingles together; of numbers or a Column."""
-    n, differ = float(SET_BITS), total * ((100.0 - THRESHOLD) / (100.0 + THRESHOLD))
+    n, differ = float(SET_BITS), total * ((100.0 - threshold) / (100.0 + threshold))
     two, four = (differ * float(np.log1p(-2 / n))), (differ * float(np.log1p(-4 / n)))
     exp = F.exp if isinstance(total, Column) else np.exp
     spread = (n / 4 * (1 + (n - 1) * exp(four) - n * exp(2 * two)) + 1e-6) ** 0.5
@@ -166,8 +170,8 @@ def sets_of(spark: SparkSession, rows: DataFrame, nodes: DataFrame) -> DataFrame
     return staged(spark, chosen.mapInArrow(work, "node binary, found binary"), "full-sets")
 
 
-def confirmed(spark: SparkSession, rows: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= THRESHOLD * union, on the full sets; written once."""
+def confirmed(spark: SparkSession, rows: DataFrame, classes: DataFrame, pairs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """The pairs (a, b) with 100 * intersection >= threshold * union, on the full sets; written once."""
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     nodes = staged(spark, classes.select("node", "loc").join(ends, "node", "left_semi"), "to-confirm")
     sets = sets_of(spark, rows, nodes)
@@ -184,7 +188,7 @@ def confirmed(spark: SparkSession, rows: DataFrame, classes: DataFrame, pairs: D
                         last, of_last = a, np.frombuffer(x.as_py(), np.uint64)
                     other = np.frombuffer(y.as_py(), np.uint64)
                     common = common_of(of_last, other)
-                    keep.append(100 * common >= THRESHOLD * (len(of_last) + len(other) - common))
+                    keep.append(100 * common >= threshold * (len(of_last) + len(other) - common))
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], names=["a", "b"]).filter(pa.array(keep))
 
     return staged(spark, both.mapInArrow(work, "a binary, b binary"), "links")
@@ -198,17 +202,17 @@ def common_of(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[np.minimum(at, len(b) - 1)] == a).sum())
 
 
-def hub_pairs(buckets: DataFrame, classes: DataFrame) -> DataFrame:
+def hub_pairs(buckets: DataFrame, classes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Each member with its bucket's hub, where the sketches pass."""
     pairs = buckets.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     of = lambda end: classes.select(F.col("node").alias(end), F.struct("sketch", "bitmap", "n").alias(f"of_{end}"))
     both = pairs.join(of("b"), "b").join(of("a"), "a")
-    near = differing(F.col("of_a.sketch"), F.col("of_b.sketch")) <= most_bits()
-    nearer = differing(F.col("of_a.bitmap"), F.col("of_b.bitmap")) <= most_set_bits((F.col("of_a.n") + F.col("of_b.n")).cast("double"))
+    near = differing(F.col("of_a.sketch"), F.col("of_b.sketch")) <= most_bits(threshold)
+    nearer = differing(F.col("of_a.bitmap"), F.col("of_b.bitmap")) <= most_set_bits((F.col("of_a.n") + F.col("of_b.n")).cast("double"), threshold)
     return both.where(near & nearer).select("a", "b")
 
 
-def rest_pairs(buckets: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
+def rest_pairs(buckets: DataFrame, classes: DataFrame, labels: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Pairs of members other than the hub, in different components, where the sketches pass."""
     members = buckets.where("node <> hub").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     mixed_keys = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high").select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
@@ -216,7 +220,7 @@ def rest_pairs(buckets: DataFrame, classes: DataFrame, labels: DataFrame) -> Dat
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
     spread = members.select("key", "chunk", "node", "label", "bands", "sketch", "bitmap", "size", other)
     cells = spread.groupBy("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j")).agg(F.collect_list(F.struct("node", "label", "chunk", "bands", "sketch", "bitmap", "size")).alias("members"))
-    limit = most_bits()
+    limit = most_bits(threshold)
 
     def work(batches):
         for b in batches:
@@ -233,7 +237,7 @@ def rest_pairs(buckets: DataFrame, classes: DataFrame, labels: DataFrame) -> Dat
                     if ok.any():
                         near = np.flatnonzero(ok)
                         near = near[np.bitwise_count(sketches[x + 1 + near] ^ sketches[x]).sum(1) <= limit]
-                        near = near[np.bitwise_count(bitmaps[x + 1 + near] ^ bitmaps[x]).sum(1) <= most_set_bits(size[x] + size[x + 1 + near])]
+                        near = near[np.bitwise_count(bitmaps[x + 1 + near] ^ bitmaps[x]).sum(1) <= most_set_bits(size[x] + size[x + 1 + near], threshold)]
                         near = near[keys[x, (keys[x + 1 + near] == keys[x]).argmax(1)] == key]
                         first += [found[x]["node"]] * len(near)
                         second += [found[x + 1 + y]["node"] for y in near]
@@ -244,8 +248,8 @@ def rest_pairs(buckets: DataFrame, classes: DataFrame, labels: DataFrame) -> Dat
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, decisions, links): decisions hold loc, doc_id, n_shingles, component_id, keep_loc; links are between sets."""
+def near_dedup(spark: SparkSession, docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, decisions, links) with links from `threshold` percent on: decisions hold loc, doc_id, n_shingles, component_id, keep_loc; links are between sets."""
     rows, found = signatures(spark, docs)
     place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "loc")
     classes = found.where("n_shingles > 0").groupBy("node").agg(F.min(F.struct(place.alias("place"), "bands", "sketch", "bitmap", F.col("n_shingles").alias("n"))).alias("of"))
@@ -257,11 +261,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFra
     company = several.groupBy("node").agg(F.sum("size").alias("company"))
     hubs = several.join(company, "node").groupBy("key").agg(F.max_by("node", F.struct("company", "node")).alias("hub"))
     buckets = staged(spark, several.select("key", "node").join(hubs, "key"), "buckets")
-    links = confirmed(spark, rows, classes, staged(spark, hub_pairs(buckets, classes), "hub-pairs"))
+    links = confirmed(spark, rows, classes, staged(spark, hub_pairs(buckets, classes, threshold), "hub-pairs"), threshold)
     labels = components(spark, links)
-    more = staged(spark, rest_pairs(buckets, classes, labels), "rest-pairs")
+    more = staged(spark, rest_pairs(buckets, classes, labels, threshold), "rest-pairs")
     if not more.isEmpty():
-        extra = confirmed(spark, rows, classes, more)
+        extra = confirmed(spark, rows, classes, more, threshold)
         if not extra.isEmpty():
             links = links.unionByName(extra)
             labels = components(spark, links)
@@ -278,7 +282,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFra
 
 def op4(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The contract's columns."""
-    _, decided, _ = near_dedup(spark, docs)
+    _, decided, _ = near_dedup(spark, docs, OP4_THRESHOLD)
     return decided.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 

@@ -148,6 +148,22 @@ def test_near_dedup_finds_every_link(spark, monkeypatch):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows)
 
 
+def test_near_dedup_stage_links_from_four_fifths(spark):
+    rng = random.Random(12)
+    rows = []
+    for k in range(40):  # 96 shingles each; 10 of them change: 86 / 106 = 0.81, or 12: 84 / 108 = 0.78
+        w = words(rng, 100).split()
+        rows.append((2 * k, " ".join(w), "s"))
+        w[-(10 if k % 2 else 12) :] = [f"z{k}x{j}" for j in range(10 if k % 2 else 12)]
+        rows.append((2 * k + 1, " ".join(w), "s"))
+    sets = brute_sets(rows)
+    alike = {k for k in range(40) if 100 * len(sets[2 * k] & sets[2 * k + 1]) >= 80 * len(sets[2 * k] | sets[2 * k + 1])}
+    assert alike == set(range(1, 40, 2))
+    kept = sorted(r.doc_id for r in near_dedup.near_dedup_stage(spark, table(spark, rows)).collect())
+    assert kept == sorted(set(range(80)) - {2 * k + 1 for k in alike})
+    assert all(r.kept for r in near_dedup.op4(spark, table(spark, rows)).collect())
+
+
 def test_sketches():
     rng = random.Random(1)
     a = near_dedup.shingles(words(rng, 400))
