@@ -1,22 +1,24 @@
 """Substring dedup by sliding sentence spans.
 
-A sentence ends after '.', '!' or '?' before white space, or at a line break. From every sentence starts the
-shortest run of consecutive sentences that has LEAST_WORDS words (two sentences at least, or one very long
-one), and at every sentence such a run ends; each run is hashed, with white space squeezed and A-Z
-lower-cased. Runs of one hash are joined over the whole corpus; the first is the one with the smallest
-doc_id, then the earliest place. Sentences that any other run covers are removed, with the white space after
-them; spans are judged on the input, not on what is left.
+A sentence ends after '.', '!' or '?' before white space, or at a line break; its pieces end after ',', ';' or ':'
+before white space as well. Every two consecutive sentences are a run, however short: where a longer run of
+sentences repeats, so do all the pairs in it. For passages that begin or end in mid-sentence, from every piece starts
+the shortest run of consecutive pieces that has LEAST_WORDS words (two pieces at least, or one very long one), and at
+every piece such a run ends. Each run is hashed, with white space squeezed and A-Z lower-cased. Runs of one hash are
+joined over the whole corpus; the first is the one with the smallest doc_id, then the earliest place. Pieces that any
+other run covers are removed, with the white space after them; spans are judged on the input, not on what is left.
 
 Runs of one hash within a block of rows are combined before the shuffle: all but the block's first are known
 not to be the corpus's first, so a run that a third of all documents share reaches its group once a block.
 
 Defined cases: a null text is empty and stays so; a null doc_id is smaller than any other; repeated rows
-count as copies of each other, by file place; texts with fewer words than a run are never changed; an empty
-table gives an empty result; other columns are carried along whole.
+count as copies of each other, by file place; texts of one sentence with fewer words than a run are never changed;
+sentences without words belong to no pair; an empty table gives an empty result; other columns are carried along whole.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -28,11 +30,12 @@ from pyspark.sql import functions as F
 
 from scrivana.llm.common import packed, staged
 
-#: A run has two sentences and so many words, or so many words in one sentence.
+#: A run of pieces has two pieces and so many words, or so many words in one piece.
 LEAST_WORDS, ALONE_WORDS = 20, 40
 #: Runs that are combined at a time.
 BLOCK_RUNS = 400_000
 _BREAK = re.compile(r"(?<=[.!?])[^\S\n]+|\s*\n\s*")
+_CLAUSE = re.compile(r"(?<=[,;:])\s+")
 _NONE = np.iinfo(np.int64).min
 
 
@@ -43,8 +46,27 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b in zip(edges, edges[1:], strict=False) if b > a]
 
 
+def pieces(text: str) -> list[tuple[int, int, int]]:
+    """(start, end, number of the sentence) of the pieces; they cover the text as the sentences do."""
+    out = []
+    for k, (a, b) in enumerate(sentences(text)):
+        edges = [a, *(m.end() for m in _CLAUSE.finditer(text, a, b) if m.end() < b), b]
+        out += [(x, y, k) for x, y in zip(edges, edges[1:], strict=False)]
+    return out
+
+
+def sentence_pairs(counts: list[int], numbers: list[int]) -> list[tuple[int, int]]:
+    """(first, last) of every two consecutive sentences, over pieces with these words in these sentences."""
+    held: dict[int, tuple[int, int]] = {}
+    for k, (n, number) in enumerate(zip(counts, numbers, strict=True)):
+        if n:
+            held[number] = (held.get(number, (k, k))[0], k)
+    ends = list(held.values())
+    return [(a, b) for (a, _), (_, b) in zip(ends, ends[1:], strict=False)]
+
+
 def runs(counts: list[int]) -> list[tuple[int, int]]:
-    """The runs (first, last) over sentences with these numbers of words.
+    """The runs (first, last) over pieces with these numbers of words.
 
     A run that contains a long enough one is long enough, so both ends only move forwards (or backwards).
     """
@@ -56,7 +78,7 @@ def runs(counts: list[int]) -> list[tuple[int, int]]:
         return total >= ALONE_WORDS or (last > first and total >= LEAST_WORDS)
 
     last = 0
-    for first in range(n):  # the shortest run from each sentence
+    for first in range(n):  # the shortest run from each piece
         last = max(last, first)
         while last < n and not enough(first, last):
             last += 1
@@ -64,7 +86,7 @@ def runs(counts: list[int]) -> list[tuple[int, int]]:
             break
         found.add((first, last))
     first = n - 1
-    for last in range(n - 1, -1, -1):  # the shortest run up to each sentence
+    for last in range(n - 1, -1, -1):  # the shortest run up to each piece
         first = min(first, last)
         while first >= 0 and not enough(first, last):
             first -= 1
@@ -79,9 +101,14 @@ def _lower(text: str) -> bytes:
 
 
 def text_runs(text: str) -> Iterator[tuple[int, int, int]]:
-    """(hash, first, last) of a text's runs."""
-    parts = [_lower(text[a:b]) for a, b in sentences(text)]
-    for first, last in runs([len(p.split()) for p in parts]):
+    """(hash, first, last) of a text's runs; first and last are numbers of pieces."""
+    cut = pieces(text)
+    parts = [_lower(text[a:b]) for a, b, _ in cut]
+    counts = [p.count(b" ") + 1 if p else 0 for p in parts]
+    before = [0, *itertools.accumulate(counts)]
+    # Pairs with LEAST_WORDS words of two pieces or more are covered by the runs of pieces inside them.
+    short = [(a, b) for a, b in sentence_pairs(counts, [k for _, _, k in cut]) if before[b + 1] - before[a] < LEAST_WORDS]
+    for first, last in [*runs(counts), *short]:
         yield xxhash.xxh3_64_intdigest(b" ".join(p for p in parts[first : last + 1] if p)) - (1 << 63), first, last
 
 
@@ -131,15 +158,16 @@ def repeated(spark: SparkSession, rows: DataFrame) -> DataFrame:
 
 
 def kept(text: str, covered: list[tuple[int, int]]) -> tuple[str, int, int, int]:
-    """(text without the covered sentences, sentences, removed ones, maximal removed runs)."""
-    parts = sentences(text)
+    """(text without the covered pieces, sentences, those that lose any, maximal removed runs of pieces)."""
+    parts = pieces(text)
     gone = np.zeros(len(parts) + 1, dtype=np.int64)
     for first, last in covered:
         gone[first] += 1
         gone[last + 1] -= 1
     gone = np.cumsum(gone[:-1]) > 0
     starts = int(np.count_nonzero(gone & ~np.concatenate([[False], gone[:-1]]))) if len(parts) else 0
-    return "".join(text[a:b] for (a, b), g in zip(parts, gone, strict=True) if not g), len(parts), int(gone.sum()), starts
+    left = "".join(text[a:b] for (a, b, _), g in zip(parts, gone, strict=True) if not g)
+    return left, parts[-1][2] + 1 if parts else 0, len({k for (_, _, k), g in zip(parts, gone, strict=True) if g}), starts
 
 
 def remove_repeated(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -361,6 +361,19 @@ def test_runs(counts):
     assert spans.runs(counts) == sorted(want)
 
 
+def test_short_sentences_and_passages_cut_in_mid_sentence(spark):
+    rng = random.Random(8)
+    short = "Alpha beta. Gamma delta."
+    passage = ", ".join(words(rng, 8) for _ in range(3)) + ". " + ", ".join(words(rng, 8) for _ in range(4))
+    rows = [(1, f"{words(rng, 9)}. {short} {words(rng, 9)}.", "s"), (2, f"{words(rng, 7)}. {short} {words(rng, 7)}.", "s")]
+    rows += [(3, f"{words(rng, 5)} {passage} {words(rng, 5)}.", "s"), (4, f"{words(rng, 6)} {passage} {words(rng, 6)}.", "s")]
+    got = {r.doc_id: r for r in spans.op10(spark, table(spark, rows)).collect()}
+    assert got[1].text == rows[0][1] and got[3].text == rows[2][1]
+    assert got[2].text == rows[1][1].replace(short + " ", "") and (got[2].n_sentences, got[2].n_removed, got[2].n_spans) == (4, 2, 1)
+    # The first piece begins and the last one ends outside of the passage; the other 40 words go.
+    assert len(got[4].text.split()) == len(rows[3][1].split()) - 40 and (got[4].n_sentences, got[4].n_removed, got[4].n_spans) == (2, 2, 1)
+
+
 @pytest.mark.parametrize("text", ["", " ", "A b. C d!\n\n e", "no end", "\n\nx.  y", "a.b c? d"])
 def test_sentences_cover_the_text(text):
     assert "".join(text[a:b] for a, b in spans.sentences(text)) == text
