@@ -1,6 +1,6 @@
 """Prepare the documents table for training: five stages, each over all that the one before kept.
 
-run() writes every stage's rows as Parquet to the shared folder and reads them back as the next one's documents.
+encoded() writes every stage's rows as Parquet to the shared folder and reads them back as the next one's documents.
 """
 
 from __future__ import annotations
@@ -32,8 +32,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Number of token ids of each row, with the digests of the ids and of the bytes they decode to."""
-    return bpe.op2(spark, docs)
+    """The token ids of each row, with their number and the digests of the ids and of the bytes they decode to."""
+    return bpe.encoding_stage(spark, docs)
 
 
 STAGES = [
@@ -48,9 +48,14 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows over the documents of sf_dir."""
+def encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows over the documents of sf_dir: the encoded corpus."""
     docs = documents(spark, sf_dir)
     for name, stage in STAGES:
         docs = staged(spark, stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The encoded corpus without its ids: op2's columns."""
+    return encoded(spark, sf_dir).drop("ids")

@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import itertools
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -140,26 +141,32 @@ def decode(spark: SparkSession, df: DataFrame, rank_path: str, pattern: str, ids
     return df.mapInArrow(run, schema)
 
 
-def round_trip(spark: SparkSession, docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
+def round_trip(spark: SparkSession, docs: DataFrame, rank_path: str, pattern: str, keep_ids: bool = False) -> DataFrame:
     """For each document the number of ids, the digest of the ids and that of the bytes they decode to.
 
-    One pass over the text: the ids never leave the Python worker.
+    One pass over the text; the ids leave the Python worker only with keep_ids, as a last column.
     """
     ranks = spark.sparkContext.broadcast(open(rank_path, "rb").read())
 
     def run(batches):
         c = coder(ranks.value, pattern)
         for b in _slices(batches, "text"):
-            counts, of_ids, of_raw = [], [], []
+            counts, of_ids, of_raw, kept = [], [], [], []
             for text in b.column("text").to_pylist():
                 ids = c.encode(text) if text else []
                 counts.append(len(ids))
                 of_ids.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
                 of_raw.append(hashlib.sha256(c.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(counts, pa.int64()), pa.array(of_ids), pa.array(of_raw)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                if keep_ids:
+                    kept.append(pa.array(ids, pa.int32()))
+            cols = {"doc_id": b.column("doc_id"), "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(of_ids), "decoded_sha256": pa.array(of_raw)}
+            if keep_ids:
+                ends = pa.array([0, *itertools.accumulate(counts)], pa.int32())
+                cols["ids"] = pa.ListArray.from_arrays(ends, pa.concat_arrays(kept))
+            yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
     slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    return slim.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return slim.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)
 
 
 def op2(spark: SparkSession, docs: DataFrame, rank_path: str | None = None) -> DataFrame:
@@ -167,3 +174,10 @@ def op2(spark: SparkSession, docs: DataFrame, rank_path: str | None = None) -> D
     import public_tokenizers
 
     return round_trip(spark, docs, rank_path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """op2's columns and the ids themselves."""
+    import public_tokenizers
+
+    return round_trip(spark, docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=True)

@@ -520,3 +520,15 @@ def test_pipeline_runs(spark, folder):
     out = corpus_pipeline.run(spark, folder)
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact dedup", "near dedup", "mixing", "byte-level BPE"]
+
+
+def test_pipeline_keeps_the_ids(spark, odd):
+    docs = table(spark, odd)
+    out = corpus_pipeline.tokenize(spark, docs, "")
+    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
+    got = out.collect()
+    assert all(r.n_tokens == len(r.ids) and r.ids_sha256 == hashlib.sha256(",".join(map(str, r.ids)).encode()).hexdigest() for r in got)
+    import public_tokenizers
+
+    coder = bpe.coder(open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb").read(), public_tokenizers.PATTERN)
+    assert sorted(coder.decode(r.ids) for r in got) == sorted((t or "").encode() for _, t, _ in odd)
