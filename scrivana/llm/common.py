@@ -28,9 +28,14 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session, else a local one."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that driver and executors share: spark.checkpoint.dir of the session, else, on one machine, a local one.
+
+    Executors on other machines couldn't read what is staged in a local folder, so a cluster must name one.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = LOCAL_SHARED
         if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
             spark.sparkContext.setCheckpointDir(named)
@@ -38,8 +43,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A path of its own below the shared folder, deleted when the driver's Python ends."""
-    path = f"{shared_folder(spark)}/scrivana/{name}-{uuid.uuid4().hex}"
+    """A path of its own below the shared folder and the application's id, deleted when the driver's Python ends.
+
+    What a killed driver leaves is below its application's id, so it can be told from what still is in use.
+    """
+    path = f"{shared_folder(spark)}/scrivana/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     atexit.register(delete, spark, path)
     return path
 
@@ -56,20 +64,69 @@ def staged(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = new_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._staged_in = path
+    return found
+
+
+def forget(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete staged tables that no later step reads, so that a long session's folder doesn't grow."""
+    for table in tables:
+        path = table.__dict__.get("_staged_in")
+        if path:
+            delete(spark, path)
+
+
+def is_bare_scan(docs: DataFrame) -> bool:
+    """Whether each row of docs is one row of a Parquet file: a scan with filters and projections only.
+
+    Above a join, an explode, a union or a sample several rows may share a file's row, or which rows there are may
+    change from one evaluation to the next.
+    """
+    plan = docs._jdf.queryExecution().analyzed()
+    if "_metadata" in docs.columns or "_metadata" not in plan.metadataOutput().toString() or not plan.deterministic():
+        return False
+    if "row_index" not in docs.select("_metadata").schema["_metadata"].dataType.names:
+        return False
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    return plan.children().isEmpty()
 
 
-def packed(spark: SparkSession, docs: DataFrame, *keep: str) -> DataFrame:
-    """docs as (loc, row): a stable 64-bit content locator and the whole row, so that no column name can clash.
+def packed(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """docs as (loc, row): a content locator and the whole row, so that no column name can clash.
 
-    The locator is the hash of file and row number. Rows that aren't read straight from files are
-    written to the shared folder first, which gives them both.
+    The locator is (hash of the file's path, number of the row in it). Rows that aren't read straight from files
+    (see is_bare_scan) are written to the shared folder first, which gives each of them a place of its own.
     """
-    if "_metadata" not in docs.columns and "_metadata" in docs._jdf.queryExecution().analyzed().metadataOutput().toString():
-        found = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("_metadata.file_path").alias("p"), F.col("_metadata.row_index").alias("i"))
-        return found.select(F.xxhash64("p", "i").alias("loc"), "row")
-    written = staged(spark, docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row")), "rows")
-    return written.select(F.xxhash64(F.col("_metadata.file_path"), F.col("_metadata.row_index")).alias("loc"), "row")
+    whole = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), *([F.col("_metadata.file_path").alias("p"), F.col("_metadata.row_index").alias("i")] if (bare := is_bare_scan(docs)) else []))
+    if not bare:
+        whole = staged(spark, whole, "rows").select("row", F.col("_metadata.file_path").alias("p"), F.col("_metadata.row_index").alias("i"))
+    return whole.select(F.struct(F.xxhash64("p").alias("file"), F.col("i").alias("at")).alias("loc"), "row")
+
+
+#: The locator's type, for functions that name their columns' types.
+LOC = "struct<file:bigint,at:bigint>"
+
+
+def heavy(spark: SparkSession, df: DataFrame, key: str, width: int = 1024, most: int = 1_000_000) -> DataFrame:
+    """(key, salts): the values of key that hold over `width` rows, and over one in `most` of all, with a number of salts.
+
+    That makes `most` rows at most, whatever the size of df, so the table can be broadcast. Written once.
+    """
+    least = max(width, df.count() // most)
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least)
+    return staged(spark, counts.select(key, F.ceil(F.col("n") / least).cast("int").alias("salts")), "heavy")
+
+
+def salted(df: DataFrame, key: str, hot: DataFrame, by: str) -> DataFrame:
+    """df with salt: rows of a heavy key are dealt over its salts by a hash of `by`."""
+    return df.join(F.broadcast(hot), key, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(by), F.col("salts")).cast("int"), F.lit(0))).drop("salts")
+
+
+def for_salts(df: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """df (a row for each key) with a row for each salt of its key, to be joined on (key, salt)."""
+    return df.join(F.broadcast(hot), key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
 
 
 def texts(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -5,27 +5,31 @@ words, all of them as one), sorted. Sketches of parts merge into the sketch of t
 resemblance, containment and the number of distinct shingles; sets of up to k shingles are exact.
 
 The query also compares each document with the next one in descending order of doc_id. That order is global,
-so it is cut into buckets of WIDTH consecutive ids, each sorted on its own. A bucket's largest document goes
-to the next higher bucket that has rows as well, to follow its last row; which bucket that is comes from a
-table of one row for each bucket, with one level of buckets of buckets above it.
+so it is cut at keys of existing rows into buckets of about BUCKET_BYTES of text, whatever the ids look like: the
+key is (doc_id, first bytes of the text, hash of the locator), so that missing and repeated ids are cut as well.
+Texts are shuffled once, by bucket, and sketched and sorted there. A bucket's first row goes to the bucket before it as
+well, to follow its last row. The cuts come from a range partitioning of the keys alone.
 
 Defined cases: a null text is empty; a text without words has an empty sketch, which is like another empty
-one (1.0) and unlike any other (0.0); null doc_ids come last; rows with the same doc_id follow each other by
-text; a single document is its own next one; an empty table gives an empty result.
+one (1.0) and unlike any other (0.0); a very long text is one row of its bucket; null doc_ids come last (with the
+least 64-bit number, if that is an id); rows with the same doc_id follow each other by the first seven bytes of
+their text, then by a hash of their place; a single document is its own next one; repeated rows are rows of their own; an empty table gives an empty result;
+extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scrivana.llm.common import let, staged, texts, words
+from scrivana.llm.common import forget, let, staged, texts, words
 
 K, SHINGLE = 128, 5
-#: Ids in a bucket, buckets in a bucket of buckets.
-WIDTH, WIDER = 256, 4096
-#: The table of buckets is broadcast up to this many rows of 16 bytes; beyond, it is joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Text in a bucket, about, and the most buckets.
+BUCKET_BYTES, MOST_BUCKETS = 4 << 20, 1 << 17
+#: Buckets that a task is made for, about.
+BUCKETS_A_TASK = 8
 _EMPTY = "array<bigint>"
 
 
@@ -76,35 +80,57 @@ def to_text(a: Column) -> Column:
     return F.lower(F.array_join(F.transform(a, lambda x: F.lpad(F.hex(x), 16, "0")), ""))
 
 
-def with_next(spark: SparkSession, docs: DataFrame, sketched: DataFrame) -> DataFrame:
-    """sketched (doc_id, text, fp) with next_text and next_fp, those of the next row by descending doc_id."""
-    # Null ids share the lowest bucket with the least id.
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    bucket = F.floor(F.col("doc_id").cast("decimal(20,0)") / WIDTH).cast("long")
-    tops = ids.where("doc_id IS NOT NULL").groupBy(bucket.alias("bucket")).agg(F.max("doc_id").alias("top"))
-    outer = F.floor(F.col("bucket") / WIDER)
-    # The next higher bucket with rows: within the bucket of buckets, else the least of the next one, else the least of all.
-    tops = tops.withColumn("outer", outer)
-    ends = tops.groupBy("outer").agg(F.min("bucket").alias("least"))
-    ends = ends.select("outer", F.lead("least").over(Window.orderBy("outer")).alias("beyond"), F.min("least").over(Window.partitionBy()).alias("first"))
-    higher = F.lead("bucket").over(Window.partitionBy("outer").orderBy("bucket"))
-    tops = staged(spark, tops.withColumn("higher", higher).join(ends, "outer").select("top", F.coalesce("higher", "beyond").alias("goes_to"), "first"), "buckets")
-    few = tops.count() <= BROADCAST_ROWS
-    lowest = tops.agg(F.min("first")).first()[0] or 0
-    placed = sketched.join(F.broadcast(tops) if few else tops, sketched["doc_id"] == tops["top"], "left")
-    own = F.coalesce(bucket, F.lit(lowest))
-    homes = F.array(F.struct(own.alias("bucket"), F.lit(False).alias("guest")), F.struct(F.coalesce("goes_to", F.lit(lowest)).alias("bucket"), F.lit(True).alias("guest")))
-    placed = placed.select("doc_id", "text", "fp", F.explode(F.when(F.col("top").isNull(), F.slice(homes, 1, 1)).otherwise(homes)).alias("home")).select("doc_id", "text", "fp", "home.*")
-    order = Window.partitionBy("bucket").orderBy("guest", F.col("doc_id").desc_nulls_last(), "text")
-    found = placed.withColumn("next_text", F.lead("text").over(order)).withColumn("next_fp", F.lead("fp").over(order)).where("NOT guest")
-    # Only where no doc_id is known is there no guest: then the last row's next one is itself.
-    return found.withColumn("next_text", F.coalesce("next_text", "text")).withColumn("next_fp", F.coalesce("next_fp", "fp"))
-
-
-def op5(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def descending(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """(doc_id, text, k0, k1, k2) of docs; the numbers' ascending order is the descending one of doc_id, nulls last."""
+    down = F.coalesce(F.bitwise_not("doc_id"), F.lit((1 << 63) - 1)).alias("k0")
+    start = F.conv(F.rpad(F.hex(F.substring(F.encode("text", "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("long").alias("k1")
+    return texts(spark, docs).select("doc_id", "text", down, start, F.xxhash64("loc").alias("k2"))
+
+
+def cuts(spark: SparkSession, keyed: DataFrame, bucket_bytes: int) -> list[tuple[int, int, int]]:
+    """The first key of each bucket, in order: keys of rows, one for every `bucket_bytes` of text, about."""
+    slim = staged(spark, keyed.select("k0", "k1", "k2", F.octet_length("text").alias("n")), "order-keys")
+    size = slim.agg(F.sum("n")).first()[0] or 0
+    parts = int(min(MOST_BUCKETS, max(1, -(-size // bucket_bytes))))
+    ranged = slim.repartitionByRange(parts, "k0", "k1", "k2")
+    rows = ranged.groupBy(F.spark_partition_id()).agg(F.min(F.struct("k0", "k1", "k2")).alias("first")).select("first.*").collect()
+    forget(spark, slim)
+    return sorted(tuple(r) for r in rows)
+
+
+def bucket_of(found: list[tuple[int, int, int]]) -> Column:
+    """struct(bucket, first): a row's bucket, by binary search of k0, k1, k2 in the cuts, and whether it is its first row."""
+    columns = [F.lit(np.array([c[k] for c in found], dtype=np.int64)) for k in range(3)]
+    mine = F.struct("k0", "k1", "k2")
+    at = lambda i: F.struct(*[F.element_at(c, i + 1).alias(f"k{k}") for k, c in enumerate(columns)])
+    ahead = lambda step: lambda p: F.when(p + step >= len(found), p).when(at(p + step) <= mine, p + step).otherwise(p)
+    place = F.lit(0)  # the last cut that isn't above the row
+    for power in reversed(range(max(1, len(found) - 1).bit_length())):
+        place = let(place, ahead(1 << power))
+    return let(place, lambda p: F.struct(p.alias("bucket"), (at(p) == mine).alias("first")))
+
+
+def with_next(spark: SparkSession, docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """(doc_id, text, fp, next_text, next_fp): each row with the next one's by descending doc_id."""
+    keyed = descending(spark, docs)
+    found = cuts(spark, keyed, bucket_bytes)
+    if not found:
+        return keyed.select("doc_id", "text", sketch(F.col("text")).alias("fp"), F.col("text").alias("next_text"), sketch(F.col("text")).alias("next_fp"))
+    keyed = keyed.withColumn("at", bucket_of(found)).select("doc_id", "text", "k0", "k1", "k2", F.col("at.bucket").alias("bucket"), F.col("at.first").alias("first"))
+    home = lambda bucket, guest: F.struct(bucket.alias("bucket"), F.lit(guest).alias("guest"))
+    before = F.pmod(F.col("bucket") - 1, F.lit(len(found))).cast("int")
+    homes = F.when(F.col("first"), F.array(home(F.col("bucket"), False), home(before, True))).otherwise(F.array(home(F.col("bucket"), False)))
+    placed = keyed.select("doc_id", "text", "k0", "k1", "k2", F.explode(homes).alias("home")).select("doc_id", "text", "k0", "k1", "k2", "home.*")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-len(found) // BUCKETS_A_TASK))
+    placed = placed.repartition(parts, "bucket").withColumn("fp", sketch(F.col("text")))
+    # A guest comes after all rows of its bucket, though its key may be the least of all (the first row follows the last).
+    order = Window.partitionBy("bucket").orderBy("guest", "k0", "k1", "k2")
+    return placed.withColumn("next_text", F.lead("text").over(order)).withColumn("next_fp", F.lead("fp").over(order)).where("NOT guest")
+
+
+def op5(spark: SparkSession, docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """The contract's columns, and the estimated number of distinct shingles."""
-    sketched = texts(spark, docs).select("doc_id", "text", sketch(F.col("text")).alias("fp"))
-    found = with_next(spark, docs, sketched)
+    found = with_next(spark, docs, bucket_bytes)
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))

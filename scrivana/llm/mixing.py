@@ -3,24 +3,28 @@
 1. Word counts: one pass over the text; (locator, source, size) goes to the shared folder.
 2. Blocks: a document belongs to one of n_blocks blocks of its source, by a hash. A source that holds a third
    of all rows is that many blocks, none of which is large.
-3. Targets: the sources share `share` of all words by weight; a target stops at `most` times its source's
-   size, and the excess is shared again. That fixed point is min(most * size, level * weight) for one level,
-   found with running sums over the sources in order of size / weight.
+3. Targets: sources are numbered by code point, bucket by bucket, so that no task sorts all of them. They share
+   `share` of all words by weight; a target stops at `most` times its source's size, and the excess is shared
+   again. Each round is one aggregate over the sources, which leaves two numbers: what is left and its weights.
 4. Draws: each source's blocks are permuted anew for each pass; blocks are drawn from the front until the
    words reach the target. The last block of a source may be drawn in part: its documents in a fixed order,
    the last of them in part too, so a source's words equal its target rounded to a word.
 5. Splitting tree: the root holds each source's exact number of drawn blocks. A node that stands for several
    shards gives its left half of them an exact share of its blocks, by source drawn from the multivariate
    hypergeometric distribution (source after source, each a univariate draw given what is left). Leaves are
-   shards; a shard's blocks of a source are the next ones in the permutation, so shards are disjoint.
+   shards; a shard's blocks of a source are the next ones in the permutation, so shards are disjoint. More than
+   FAN_OUT sources are drawn group by group first, then within each group given the group's draws, which is the
+   same distribution; so a row holds FAN_OUT numbers at most, and groups are split in parallel.
 6. Within a shard documents follow a hash, which shuffles them locally.
 
 All of it is DataFrame expressions; draws depend on hashes of seed, node and source only, so reruns agree.
-The sources (not their rows) are held in one array: a catalogue of sources, 8 bytes each.
+Rows that are equal in doc_id, text and source are dealt over the blocks by their place in the file as well, if
+there are very many of them.
 
-Defined cases: a null text has size 0; a null source is a source of its own and comes last; sources without
-words have target 0; documents without words are taken with 0 words; repeated rows are separate documents; an
-empty table gives an empty result; other columns are carried along whole.
+Defined cases: a null text has size 0; a null doc_id is as good as any; a null source is a source of its own and
+comes last; sources without words have target 0; documents without words are taken with 0 words; a very long
+text is one document, taken whole, or in part where its source's target ends; repeated rows are separate
+documents; an empty table gives an empty result; other columns are carried along whole.
 """
 
 from __future__ import annotations
@@ -30,11 +34,14 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scrivana.llm.common import let, packed, staged, words
+from scrivana.llm.common import heavy, let, packed, salted, staged, words
+from scrivana.operators.ordering import numbered
 
 #: Weights of the sources in order, repeating; share of all words; times a source's size that its target may reach.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
 SHARDS, SEED, DOCS_PER_BLOCK, MAX_BLOCKS = 16, 7, 256, 1 << 20
+#: Sources, or groups of them, that one row of the splitting tree holds.
+FAN_OUT = 1024
 
 
 def uniform(*parts: Column) -> Column:
@@ -93,34 +100,79 @@ def split_quotas(quotas: Column, left: Column, node: Column, seed: int) -> Colum
 
 
 def splitting_tree(root: DataFrame, shards: int, seed: int) -> DataFrame:
-    """(shard, q) for each leaf, from one row with the array q: each source's number of blocks."""
-    nodes = root.select(F.lit(1).cast("long").alias("node"), F.lit(0).alias("low"), F.lit(shards).alias("high"), "q")
+    """(shard, q) for each leaf, from rows with the array q: each source's number of blocks.
+
+    A column `rooms` (array of each shard's number of blocks) says how many blocks each leaf gets; without it they
+    are dealt evenly. A column `part` is carried along and tells the draws of several rows apart.
+    """
+    part = F.col("part") if "part" in root.columns else F.lit(0).cast("long")
+    rooms = F.col("rooms") if "rooms" in root.columns else F.lit(None).cast("array<bigint>")
+    nodes = root.select(part.alias("part"), F.lit(1).cast("long").alias("node"), F.lit(0).alias("low"), F.lit(shards).alias("high"), "q", rooms.alias("rooms"))
+    add = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x)
     for _ in range(math.ceil(math.log2(shards)) if shards > 1 else 0):
         middle = F.col("low") + F.floor((F.col("high") - F.col("low")) / 2).cast("int")
-        total = F.aggregate("q", F.lit(0).cast("long"), lambda a, x: a + x)
-        room = F.round(total * (middle - F.col("low")) / (F.col("high") - F.col("low"))).cast("long")
+        even = F.round(add(F.col("q")) * (middle - F.col("low")) / (F.col("high") - F.col("low"))).cast("long")
+        room = F.coalesce(add(F.slice("rooms", F.col("low") + 1, middle - F.col("low"))), even)
         whole = F.col("high") - F.col("low") <= 1
-        fields = lambda node, low, high, q: F.struct(node.alias("node"), low.alias("low"), high.alias("high"), q.alias("q"))
+        fields = lambda node, low, high, q: F.struct(F.col("part"), node.alias("node"), low.alias("low"), high.alias("high"), q.alias("q"), F.col("rooms"))
         children = let(
-            split_quotas(F.col("q"), room, F.col("node"), seed),
+            split_quotas(F.col("q"), room, F.when(F.col("part") == 0, F.col("node")).otherwise(F.xxhash64("part", "node")), seed),
             lambda x: F.array(fields(F.col("node") * 2, F.col("low"), middle, x), fields(F.col("node") * 2 + 1, middle, F.col("high"), F.zip_with("q", x, lambda a, b: a - b))),
         )
         nodes = nodes.select(F.explode(F.when(whole, F.array(fields(F.col("node"), F.col("low"), F.col("high"), F.col("q")))).otherwise(children)).alias("n")).select("n.*")
-    return nodes.select(F.col("low").alias("shard"), "q")
+    return nodes.select(*(["part"] if "part" in root.columns else []), F.col("low").alias("shard"), "q")
+
 
+def split_sources(spark: SparkSession, counts: DataFrame, shards: int, seed: int) -> DataFrame:
+    """(idx, shard, q): the blocks that each shard gets of each source, out of (idx, n); idx counts from 1.
 
-def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """(src, idx, source_size, target) of the sources out of (src, source_size); idx counts from 1 in order."""
-    everything = Window.partitionBy()
-    ranked = sizes.withColumn("idx", F.row_number().over(Window.orderBy(F.col("src").asc_nulls_last())))
-    ranked = ranked.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("idx") - 1, F.lit(len(weights))) + 1).cast("int")))
-    ranked = ranked.withColumn("pool", F.sum("source_size").over(everything) * share).withColumn("cap", F.col("source_size") * float(most))
-    order = Window.orderBy(F.col("cap") / F.col("weight"), "idx")
-    upto, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
-    level = (F.col("pool") - F.coalesce(F.sum("cap").over(upto), F.lit(0.0))) / F.sum("weight").over(after)
-    ranked = ranked.withColumn("capped", level >= F.col("cap") / F.col("weight"))
-    free = (F.col("pool") - F.coalesce(F.sum(F.when(F.col("capped"), F.col("cap"))).over(everything), F.lit(0.0))) / F.sum(F.when(~F.col("capped"), F.col("weight"))).over(everything)
-    return ranked.select("src", "idx", "source_size", F.when(F.col("capped"), F.col("cap")).otherwise(free * F.col("weight")).alias("target"))
+    Sources come in groups of FAN_OUT, groups in groups of FAN_OUT, and so on. From the top down every group's
+    blocks are split over the shards given how many blocks of the group each shard has.
+    """
+    levels = [counts.select((F.col("idx") - 1).cast("long").alias("at"), "n")]
+    most = counts.agg(F.max("idx")).first()[0] or 0
+    while most > FAN_OUT:
+        levels.append(staged(spark, levels[-1].groupBy(F.floor(F.col("at") / FAN_OUT).alias("at")).agg(F.sum("n").alias("n")), "mix-groups"))
+        most = -(-most // FAN_OUT)
+    found = None
+    for k, level in reversed(list(enumerate(levels))):
+        part = F.floor(F.col("at") / FAN_OUT).alias("above")
+        # Members in order of their numbers; the number goes along, as a group may have gaps.
+        rows = level.groupBy(part).agg(F.array_sort(F.collect_list(F.struct("at", "n"))).alias("members"))
+        rows = rows.select("above", F.transform("members", lambda m: m["n"]).alias("q"), F.transform("members", lambda m: m["at"]).alias("ats"))
+        rows = rows.withColumn("part", F.lit(0).cast("long") if found is None else F.xxhash64(F.lit(k), "above"))
+        if found is not None:
+            rooms = found.groupBy(F.col("at").alias("above")).agg(F.transform(F.array_sort(F.collect_list(F.struct("shard", "q"))), lambda x: x["q"]).alias("rooms"))
+            rows = rows.join(rooms, "above")
+        leaves = splitting_tree(rows, shards, seed).join(rows.select("part", "ats"), "part")
+        found = leaves.select("shard", F.posexplode(F.arrays_zip("ats", "q")).alias("k", "x")).select(F.col("x.ats").alias("at"), "shard", F.col("x.q").alias("q"))
+        found = staged(spark, found, "mix-shards") if k else found
+    return found.select((F.col("at") + 1).alias("idx"), "shard", "q")
+
+
+def targets(spark: SparkSession, sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """(src, idx, source_size, target) of the sources out of (src, source_size); idx counts from 1 in order.
+
+    The level is the words for each unit of weight. It starts with all sources and rises with every round, as those
+    that reach their cap drop out; the loop ends when none does any more.
+    """
+    ranked = numbered(sizes, [F.col("src").isNull(), F.coalesce("src", F.lit(""))], "idx")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("idx") - 1, F.lit(len(weights))) + 1).cast("int"))
+    ranked = staged(spark, ranked.withColumn("weight", weight).withColumn("cap", F.col("source_size") * float(most)), "mix-sources")
+    pool = (ranked.agg(F.sum("source_size")).first()[0] or 0) * share
+    capped = lambda level: F.col("cap") <= level * F.col("weight")
+    level = -1.0
+    while True:
+        full = F.sum(F.when(capped(F.lit(level)), F.col("cap")).otherwise(0.0))
+        rest = F.sum(F.when(~capped(F.lit(level)), F.col("weight")))
+        row = ranked.agg(full.alias("full"), rest.alias("rest")).first()
+        if not row.rest:  # every source is at its cap
+            break
+        free = (pool - row.full) / row.rest
+        if free <= level:
+            break
+        level = free
+    return ranked.select("src", "idx", "source_size", F.when(capped(F.lit(level)), F.col("cap")).otherwise(F.lit(level) * F.col("weight")).alias("target"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, seed: int = SEED, **policy) -> tuple[DataFrame, DataFrame]:
@@ -131,23 +183,23 @@ def mix(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, seed: int =
     rows = packed(spark, docs)
     sizes = staged(spark, rows.select("loc", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.source").cast("string").alias("src"), F.size(words(F.col("row.text"))).cast("long").alias("size"), F.xxhash64("row.doc_id", "row.text", "row.source").alias("own")), "mix-sizes")
     n_blocks = min(MAX_BLOCKS, max(16, math.ceil(sizes.count() / DOCS_PER_BLOCK)))
-    # By content, so that reruns over the same rows in other files agree.
-    block = F.pmod(F.xxhash64(F.lit(seed), "own"), F.lit(n_blocks)).alias("block")
-    sizes = sizes.select("*", block)
+    # By content, so that reruns over the same rows in other files agree; only rows that repeat very often go by place too.
+    sizes = salted(sizes, "own", heavy(spark, sizes, "own"), "loc")
+    block = F.pmod(F.when(F.col("salt") == 0, F.xxhash64(F.lit(seed), "own")).otherwise(F.xxhash64(F.lit(seed), "own", "salt")), F.lit(n_blocks)).alias("block")
+    sizes = sizes.select("loc", "doc_id", "src", "size", "own", block)
     blocks = staged(spark, sizes.groupBy("src", "block").agg(F.sum("size").alias("words")), "mix-blocks")
-    goal = staged(spark, targets(blocks.groupBy("src").agg(F.sum("words").alias("source_size")), **policy), "mix-targets")
+    goal = staged(spark, targets(spark, blocks.groupBy("src").agg(F.sum("words").alias("source_size")), **policy), "mix-targets")
     same = lambda a, b: a["src"].eqNullSafe(b["src"])
     # Passes over a source's blocks, each in another order.
     passes = blocks.join(goal, same(blocks, goal)).select(goal["src"], "idx", "block", "words", F.round("target").cast("long").alias("quota"), F.explode(F.sequence(F.lit(1), F.lit(math.ceil(policy.get("most", MOST))))).alias("pass"))
     order = Window.partitionBy("idx").orderBy("pass", F.xxhash64(F.lit(seed), "idx", "pass", "block"), "block")
     drawn = passes.withColumn("pos", F.row_number().over(order) - 1).withColumn("before", F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("words"))
     drawn = staged(spark, drawn.where("before < quota").withColumn("part", F.least("words", F.col("quota") - F.col("before"))), "mix-draws")
-    counts = drawn.groupBy("idx").agg(F.count(F.lit(1)).alias("n"))
-    root = goal.join(counts, "idx", "left").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", F.coalesce("n", F.lit(0)).alias("n")))), lambda x: x["n"]).alias("q"))
-    leaves = splitting_tree(root, shards, seed).select("shard", F.posexplode("q").alias("at", "q"))
-    ahead = Window.partitionBy("at").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
+    counts = goal.select("idx").join(drawn.groupBy("idx").agg(F.count(F.lit(1)).alias("n")), "idx", "left").select("idx", F.coalesce("n", F.lit(0)).alias("n"))
+    leaves = split_sources(spark, counts, shards, seed)
+    ahead = Window.partitionBy("idx").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
     leaves = leaves.withColumn("end", F.sum("q").over(ahead)).where("q > 0")
-    places = leaves.select((F.col("at") + 1).alias("idx"), "shard", F.explode(F.sequence((F.col("end") - F.col("q")).cast("int"), (F.col("end") - 1).cast("int"))).alias("pos"))
+    places = leaves.select("idx", "shard", F.explode(F.sequence((F.col("end") - F.col("q")).cast("int"), (F.col("end") - 1).cast("int"))).alias("pos"))
     placed = drawn.join(places, ["idx", "pos"]).groupBy("src", "block").agg(F.array_sort(F.collect_list(F.struct("pass", "shard", "part", (F.col("part") == F.col("words")).alias("whole")))).alias("took"))
     # Documents of the blocks. The order within a block decides which documents a partly drawn block gives.
     running = Window.partitionBy("src", "block").orderBy(F.xxhash64(F.lit(seed), F.lit("in block"), "own"), "own", "loc").rowsBetween(Window.unboundedPreceding, 0)

@@ -10,10 +10,16 @@
    a bucket of any size gives one row per member. The hub is the member with the most company over all of its
    buckets: the text that copies stray from in all directions. Links whose sketches are too far apart are
    dropped; the others are confirmed on the full sets, and components are found.
-4. The rest: within a bucket, two members other than the hub may be linked though not through the hub. Only
-   pairs in different components matter. Such buckets are cut into chunks of about CHUNK members, and each pair
-   of chunks is compared by sketches alone, in memory; only pairs that the sketches pass become rows, each in the
-   first bucket that it shares. They are confirmed on the full sets, and components are found again.
+4. The rest: within a bucket, two members other than the hub may be linked though not through the hub. Only pairs in
+   different components matter, so members outside of the bucket's largest component are held against all members:
+   a few strays beside a large component cost a row for each member, not one for each pair. Both sides are cut into
+   chunks of about CHUNK members, and each pair of chunks is compared by sketches alone, in memory. Of a member's
+   partners in one other component only the closest become rows, and are confirmed on the full sets; components are
+   found again, and where a member had more partners than that and still is apart, more of them follow. The
+   loop ends when no partner is left out, so no link between different components is lost.
+
+Buckets may hold any share of the rows: joins on the bucket deal a heavy one over salts. Joins on a set's hash, where a
+hub has very many rows, are left to the adaptive skew join.
 
 Pairs are linked from a threshold on: THRESHOLD percent, and OP4_THRESHOLD for op4, whose contract says so. 25 bands
 of 5 miss a pair with probability 5e-5 at a similarity of 0.8, and 4e-7 at 0.85. The first sketch passes a pair at an
@@ -21,8 +27,8 @@ estimate of MARGIN below the threshold, which is 5.8 standard deviations at 0.8
 SIGMAS standard deviations above the count that is expected of the largest difference that the threshold allows.
 
 Defined cases: null and blank texts have an empty set, linked with nothing, and are their own component; with
-fewer words than a shingle the words as one are the set; a null doc_id never is a component's smallest unless
-it has no other; repeated rows are equal sets; an empty table gives an empty result; other columns are carried
+fewer words than a shingle the words as one are the set; a very long text is a large set, sampled in pieces; a null
+doc_id never is a component's smallest unless it has no other; repeated rows are equal sets; an empty table gives an empty result; other columns are carried
 along whole.
 """
 
@@ -34,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivana.llm.common import packed, staged
+from scrivana.llm.common import LOC, for_salts, forget, heavy, packed, salted, staged
 from scrivana.llm.graph import components
 
 SHINGLE = 5
@@ -44,9 +50,11 @@ BANDS, ROWS, SKETCH_BITS, SET_BITS, SIGMAS = 25, 5, 512, 1024, 6
 SAMPLES = BANDS * ROWS
 #: Sketches whose estimate is further than this below the threshold aren't confirmed.
 MARGIN = 0.25
-CHUNK = 256
-#: Locators are broadcast up to this many rows of 8 bytes; beyond, texts are joined by shuffle.
-BROADCAST_ROWS = 2_000_000
+CHUNK = 1024
+#: Partners of a member in one other component that become rows at first, and how many times more in each next round.
+CLOSEST, MORE = 16, 8
+#: Locators with their set's hash are broadcast up to this many rows of 32 bytes; beyond, texts are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
 
 _rng = np.random.default_rng(20)
 _FLIP = _rng.integers(0, 1 << 64, SAMPLES, dtype=np.uint64)
@@ -148,7 +156,7 @@ def signatures(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFra
                 yield pa.RecordBatch.from_arrays([part.column("loc"), part.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64())), pa.array(bitmaps, pa.list_(pa.int64()))], names=["loc", "doc_id", "n_shingles", "node", "bands", "sketch", "bitmap"])
 
     slim = rows.select("loc", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").alias("text"))
-    return rows, staged(spark, slim.mapInArrow(work, "loc bigint, doc_id bigint, n_shingles bigint, node binary, bands array<bigint>, sketch array<bigint>, bitmap array<bigint>"), "signatures")
+    return rows, staged(spark, slim.mapInArrow(work, f"loc {LOC}, doc_id bigint, n_shingles bigint, node binary, bands array<bigint>, sketch array<bigint>, bitmap array<bigint>"), "signatures")
 
 
 def differing(a: Column, b: Column) -> Column:
@@ -191,7 +199,9 @@ def confirmed(spark: SparkSession, rows: DataFrame, classes: DataFrame, pairs: D
                     keep.append(100 * common >= threshold * (len(of_last) + len(other) - common))
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], names=["a", "b"]).filter(pa.array(keep))
 
-    return staged(spark, both.mapInArrow(work, "a binary, b binary"), "links")
+    links = staged(spark, both.mapInArrow(work, "a binary, b binary"), "links")
+    forget(spark, nodes, sets)
+    return links
 
 
 def common_of(a: np.ndarray, b: np.ndarray) -> int:
@@ -212,40 +222,67 @@ def hub_pairs(buckets: DataFrame, classes: DataFrame, threshold: int = THRESHOLD
     return both.where(near & nearer).select("a", "b")
 
 
-def rest_pairs(buckets: DataFrame, classes: DataFrame, labels: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Pairs of members other than the hub, in different components, where the sketches pass."""
-    members = buckets.where("node <> hub").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    mixed_keys = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high").select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
-    members = members.join(mixed_keys, "key").join(classes.select("node", "bands", "sketch", "bitmap", F.col("n").alias("size")), "node").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
-    spread = members.select("key", "chunk", "node", "label", "bands", "sketch", "bitmap", "size", other)
-    cells = spread.groupBy("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j")).agg(F.collect_list(F.struct("node", "label", "chunk", "bands", "sketch", "bitmap", "size")).alias("members"))
+def mixed_buckets(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, largest, chunks, few_chunks) of the buckets whose members, without the hub, are in several components."""
+    members = buckets.where("node <> hub").join(labels, "node", "left").select("key", F.coalesce("label", "node").alias("label"))
+    of_label = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    of_key = of_label.groupBy("key").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("n"))
+    chunks = lambda n: F.ceil(n / CHUNK).cast("int")
+    return of_key.where(F.col("n") > F.col("most.n")).select("key", F.col("most.label").alias("largest"), chunks(F.col("n")).alias("chunks"), chunks(F.col("n") - F.col("most.n")).alias("few_chunks"))
+
+
+def rest_pairs(buckets: DataFrame, classes: DataFrame, labels: DataFrame, hot: DataFrame, threshold: int = THRESHOLD, closest: int = CLOSEST) -> DataFrame:
+    """(a, b, cut): members of a bucket other than the hub, in different components, where the sketches pass.
+
+    For each member outside of the largest component the closest ones of each other component; cut: it had more.
+    """
+    members = buckets.where("node <> hub").select("key", "salt", "node").join(for_salts(mixed_buckets(buckets, labels), "key", hot), ["key", "salt"])
+    members = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    members = members.join(classes.select("node", "sketch", "bitmap", F.col("n").alias("size")), "node")
+    chunk = lambda seed, of: F.pmod(F.xxhash64(F.lit(seed), "node"), F.col(of)).cast("int")
+    cell = lambda i, j, few: F.struct(i.alias("i"), j.alias("j"), F.lit(few).alias("few"))
+    upto = lambda of: F.sequence(F.lit(0), F.col(of) - 1)
+    everywhere = F.transform(upto("few_chunks"), lambda i: cell(i, chunk(1, "chunks"), False))
+    strays = F.transform(upto("chunks"), lambda j: cell(chunk(2, "few_chunks"), j, True))
+    placed = members.withColumn("cell", F.explode(F.when(F.col("label") == F.col("largest"), everywhere).otherwise(F.concat(everywhere, strays))))
+    cells = placed.groupBy("key", "cell.i", "cell.j").agg(F.collect_list(F.struct("node", "label", "cell.few", "sketch", "bitmap", "size")).alias("members"))
     limit = most_bits(threshold)
 
     def work(batches):
         for b in batches:
+            lists = b.column("members")
             for k in range(b.num_rows):
-                found, crossing = b.column("members")[k].as_py(), b.column("i")[k] != b.column("j")[k]
-                sketches = np.array([m["sketch"] for m in found], dtype=np.int64).view(np.uint64)
-                key, keys = b.column("key")[k].as_py(), np.array([m["bands"] for m in found], dtype=np.int64)
-                bitmaps, size = np.array([m["bitmap"] for m in found], dtype=np.int64).view(np.uint64), np.array([m["size"] for m in found], dtype=np.float64)
-                numbers = {x: i for i, x in enumerate({m["label"] for m in found})}
-                label, chunk = np.array([numbers[m["label"]] for m in found]), np.array([m["chunk"] for m in found])
-                first, second = [], []
-                for x in range(len(found) - 1):  # one row of the pairs at a time
-                    ok = (label[x + 1 :] != label[x]) & ((chunk[x + 1 :] != chunk[x]) | (not crossing))
-                    if ok.any():
-                        near = np.flatnonzero(ok)
-                        near = near[np.bitwise_count(sketches[x + 1 + near] ^ sketches[x]).sum(1) <= limit]
-                        near = near[np.bitwise_count(bitmaps[x + 1 + near] ^ bitmaps[x]).sum(1) <= most_set_bits(size[x] + size[x + 1 + near], threshold)]
-                        near = near[keys[x, (keys[x + 1 + near] == keys[x]).argmax(1)] == key]
-                        first += [found[x]["node"]] * len(near)
-                        second += [found[x + 1 + y]["node"] for y in near]
-                if first:
-                    yield pa.RecordBatch.from_arrays([pa.array(first, pa.binary()), pa.array(second, pa.binary())], names=["a", "b"])
-
-    pairs = cells.where("size(members) > 1").mapInArrow(work, "a binary, b binary")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+                yield from _near_pairs(lists[k].values, limit, threshold, closest)
+
+    return cells.mapInArrow(work, "a binary, b binary, cut boolean")
+
+
+def _near_pairs(cell: pa.StructArray, limit: int, threshold: int, closest: int):
+    """The pairs of one cell: each stray with the closest members of each other component."""
+    nodes, few = cell.field("node").to_pylist(), np.array(cell.field("few").to_pylist())
+    bits = lambda name: np.array(cell.field(name).flatten(), dtype=np.int64).view(np.uint64).reshape(len(nodes), -1)
+    sketches, bitmaps, size = bits("sketch"), bits("bitmap"), np.array(cell.field("size"), dtype=np.float64)
+    numbers: dict[bytes, int] = {}
+    label = np.array([numbers.setdefault(x, len(numbers)) for x in cell.field("label").to_pylist()])
+    members, first, second, cut = np.flatnonzero(~few), [], [], []
+    for x in np.flatnonzero(few):
+        near = members[label[members] != label[x]]
+        near = near[np.bitwise_count(sketches[near] ^ sketches[x]).sum(1) <= limit]
+        apart = np.bitwise_count(bitmaps[near] ^ bitmaps[x]).sum(1)
+        ok = apart <= most_set_bits(size[x] + size[near], threshold)
+        near, apart = near[ok], apart[ok]
+        order = np.lexsort((apart, label[near]))
+        near = near[order]
+        start = np.flatnonzero(np.diff(label[near], prepend=-1))
+        count = np.diff(np.append(start, len(near)))
+        rank = np.arange(len(near)) - np.repeat(start, count)
+        more = np.repeat(count > closest, count)
+        for y, m in zip(near[rank < closest].tolist(), more[rank < closest].tolist(), strict=True):
+            first.append(min(nodes[x], nodes[y]))
+            second.append(max(nodes[x], nodes[y]))
+            cut.append(m)
+    if first:
+        yield pa.RecordBatch.from_arrays([pa.array(first, pa.binary()), pa.array(second, pa.binary()), pa.array(cut)], names=["a", "b", "cut"])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -256,19 +293,28 @@ def near_dedup(spark: SparkSession, docs: DataFrame, threshold: int = THRESHOLD)
     classes = staged(spark, classes.select("node", F.col("of.place").alias("place"), F.col("of.place.loc").alias("loc"), "of.bands", "of.sketch", "of.bitmap", "of.n"), "classes")
     # Buckets of several members; sizes and hubs come from partial aggregates, so no bucket meets in one task.
     keyed = classes.select("node", F.explode("bands").alias("key"))
+    hot = heavy(spark, keyed, "key")
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    several = staged(spark, keyed.join(sizes, "key"), "several")
+    several = staged(spark, salted(keyed, "key", hot, "node").join(for_salts(sizes, "key", hot), ["key", "salt"]), "several")
     company = several.groupBy("node").agg(F.sum("size").alias("company"))
     hubs = several.join(company, "node").groupBy("key").agg(F.max_by("node", F.struct("company", "node")).alias("hub"))
-    buckets = staged(spark, several.select("key", "node").join(hubs, "key"), "buckets")
-    links = confirmed(spark, rows, classes, staged(spark, hub_pairs(buckets, classes, threshold), "hub-pairs"), threshold)
-    labels = components(spark, links)
-    more = staged(spark, rest_pairs(buckets, classes, labels, threshold), "rest-pairs")
-    if not more.isEmpty():
-        extra = confirmed(spark, rows, classes, more, threshold)
-        if not extra.isEmpty():
-            links = links.unionByName(extra)
-            labels = components(spark, links)
+    buckets = staged(spark, several.select("key", "salt", "node").join(for_salts(hubs, "key", hot), ["key", "salt"]), "buckets")
+    tested = staged(spark, hub_pairs(buckets, classes, threshold), "hub-pairs")
+    links = confirmed(spark, rows, classes, tested, threshold)
+    tested = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    labels, closest = components(spark, links), CLOSEST
+    while True:
+        passed = staged(spark, rest_pairs(buckets, classes, labels, hot, threshold, closest), "rest-pairs")
+        more = staged(spark, passed.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "rest-new")
+        if not more.isEmpty():
+            extra = confirmed(spark, rows, classes, more, threshold)
+            if not extra.isEmpty():
+                links = links.unionByName(extra)
+                labels = components(spark, links)
+        if passed.where("cut").isEmpty():
+            break
+        tested, closest = tested.unionByName(more), closest * MORE
+    forget(spark, several, buckets, passed)
     grouped = classes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "place")
     lowest = grouped.groupBy("label").agg(F.min("place").alias("first"))
     known = grouped.join(lowest, "label").select("node", "first")

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivana.llm.common import packed
+from scrivana.llm.common import LOC, packed
 from scrivana.llm.training import Sample, doc_texts, fold, sample_of
 
 #: The most labelled rows that the classifier is fitted on, and the most words with vectors of their own.
@@ -223,7 +223,7 @@ class Scorer:
 
 
 def scored(spark: SparkSession, rows: DataFrame, model: Model, keep: str = "doc_id") -> DataFrame:
-    """(keep, score) of rows with a column text."""
+    """(keep, score) of rows with a column text; keep is doc_id or loc."""
     sent = spark.sparkContext.broadcast(model)
 
     def work(batches):
@@ -233,7 +233,7 @@ def scored(spark: SparkSession, rows: DataFrame, model: Model, keep: str = "doc_
             scores = [scorer.score(column[k].as_py() or "") for k in range(b.num_rows)]
             yield pa.RecordBatch.from_arrays([b.column(keep), pa.array(scores, pa.float64())], names=[keep, "score"])
 
-    return rows.select(keep, "text").mapInArrow(work, f"{keep} bigint, score double")
+    return rows.select(keep, "text").mapInArrow(work, f"{keep} {LOC if keep == 'loc' else 'bigint'}, score double")
 
 
 def op6(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

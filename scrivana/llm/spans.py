@@ -8,12 +8,15 @@ every piece such a run ends. Each run is hashed, with white space squeezed and A
 joined over the whole corpus; the first is the one with the smallest doc_id, then the earliest place. Pieces that any
 other run covers are removed, with the white space after them; spans are judged on the input, not on what is left.
 
-Runs of one hash within a block of rows are combined before the shuffle: all but the block's first are known
-not to be the corpus's first, so a run that a third of all documents share reaches its group once a block.
+Runs of one hash (128 bits) within a block of rows are combined before the shuffle: all but the block's first are
+known not to be the corpus's first, so a run that a third of all documents share reaches its group once a block,
+as a row of 60 bytes. There the rows are told apart by a running number in sorted order, which holds no group in
+memory, whatever its size.
 
 Defined cases: a null text is empty and stays so; a null doc_id is smaller than any other; repeated rows
 count as copies of each other, by file place; texts of one sentence with fewer words than a run are never changed;
-sentences without words belong to no pair; an empty table gives an empty result; other columns are carried along whole.
+a very long text is cut into runs like any other; sentences without words belong to no pair; an empty table gives an
+empty result; other columns are carried along whole.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scrivana.llm.common import packed, staged
+from scrivana.llm.common import LOC, packed, staged
 
 #: A run of pieces has two pieces and so many words, or so many words in one piece.
 LEAST_WORDS, ALONE_WORDS = 20, 40
@@ -100,7 +103,7 @@ def _lower(text: str) -> bytes:
     return b" ".join(text.encode("utf-8", "surrogatepass").lower().split())
 
 
-def text_runs(text: str) -> Iterator[tuple[int, int, int]]:
+def text_runs(text: str) -> Iterator[tuple[bytes, int, int]]:
     """(hash, first, last) of a text's runs; first and last are numbers of pieces."""
     cut = pieces(text)
     parts = [_lower(text[a:b]) for a, b, _ in cut]
@@ -109,17 +112,23 @@ def text_runs(text: str) -> Iterator[tuple[int, int, int]]:
     # Pairs with LEAST_WORDS words of two pieces or more are covered by the runs of pieces inside them.
     short = [(a, b) for a, b in sentence_pairs(counts, [k for _, _, k in cut]) if before[b + 1] - before[a] < LEAST_WORDS]
     for first, last in [*runs(counts), *short]:
-        yield xxhash.xxh3_64_intdigest(b" ".join(p for p in parts[first : last + 1] if p)) - (1 << 63), first, last
+        yield xxhash.xxh3_128_digest(b" ".join(p for p in parts[first : last + 1] if p)), first, last
+
+
+#: Columns of the runs: both halves of the hash, the row's id and place, the run's pieces.
+_RUN_COLUMNS = ("high", "low", "doc_id", "file", "at", "first", "last")
 
 
 def _emit(rows: list[np.ndarray]) -> pa.RecordBatch:
-    """Runs as (hash, doc_id, loc, first, last, later); later: not the first of its hash in this block."""
-    h, doc, loc, first, last = (np.concatenate([r[k] for r in rows]) for k in range(5))
-    order = np.lexsort((first, loc, doc, h))
-    h, doc, loc, first, last = h[order], doc[order], loc[order], first[order], last[order]
-    later = np.concatenate([[False], h[1:] == h[:-1]])
-    docs = pa.array(doc, mask=doc == _NONE)
-    return pa.RecordBatch.from_arrays([pa.array(h), docs, pa.array(loc), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(later)], names=["hash", "doc_id", "loc", "first", "last", "later"])
+    """Runs of a block with `later`: not the first of its hash there."""
+    runs = np.concatenate(rows)
+    high, low, doc, file, at, first, last = runs.T
+    order = np.lexsort((first, at, file, doc, low, high))
+    runs = runs[order]
+    later = np.concatenate([[False], (runs[1:, :2] == runs[:-1, :2]).all(1)])
+    columns = [pa.array(runs[:, k], mask=(runs[:, k] == _NONE) if name == "doc_id" else None) for k, name in enumerate(_RUN_COLUMNS[:5])]
+    columns += [pa.array(runs[:, k].astype(np.int32)) for k in (5, 6)]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(later)], names=[*_RUN_COLUMNS, "later"])
 
 
 def hashed_runs(rows: DataFrame) -> DataFrame:
@@ -128,33 +137,35 @@ def hashed_runs(rows: DataFrame) -> DataFrame:
     def work(batches):
         held, size = [], 0
         for b in batches:
-            locs, ids = b.column("loc").to_pylist(), b.column("doc_id").to_pylist()
+            files, places = (b.column("loc").field(k).to_pylist() for k in (0, 1))
+            ids = b.column("doc_id").to_pylist()
             for k in range(b.num_rows):
                 text = b.column("text")[k].as_py()
                 found = list(text_runs(text)) if text else []
                 if not found:
                     continue
-                a = np.array(found, dtype=np.int64)
-                n = len(a)
-                held.append((a[:, 0], np.full(n, _NONE if ids[k] is None else ids[k]), np.full(n, locs[k]), a[:, 1], a[:, 2]))
-                size += n
+                a = np.empty((len(found), 7), dtype=np.int64)
+                a[:, :2] = np.frombuffer(b"".join(f[0] for f in found), np.int64).reshape(-1, 2)
+                a[:, 2:5] = (_NONE if ids[k] is None else ids[k], files[k], places[k])
+                a[:, 5:] = [f[1:] for f in found]
+                held.append(a)
+                size += len(a)
                 if size >= BLOCK_RUNS:
                     yield _emit(held)
                     held, size = [], 0
         if held:
             yield _emit(held)
 
-    return rows.mapInArrow(work, "hash bigint, doc_id bigint, loc bigint, first int, last int, later boolean")
+    return rows.mapInArrow(work, "high bigint, low bigint, doc_id bigint, file bigint, at bigint, first int, last int, later boolean")
 
 
 def repeated(spark: SparkSession, rows: DataFrame) -> DataFrame:
     """(loc, covered) of the rows of which sentences go; covered: array of (first, last)."""
     found = staged(spark, hashed_runs(rows), "sentence-runs")
-    place = F.struct("doc_id", "loc", "first")
-    firsts = found.where("NOT later").withColumn("start", F.min(place).over(Window.partitionBy("hash")))
-    others = firsts.where(F.col("start") != place).select("loc", "first", "last")
-    gone = others.unionByName(found.where("later").select("loc", "first", "last"))
-    return gone.groupBy("loc").agg(F.collect_list(F.struct("first", "last")).alias("covered"))
+    order = Window.partitionBy("high", "low").orderBy("doc_id", "file", "at", "first")
+    others = found.where("NOT later").withColumn("nth", F.row_number().over(order)).where("nth > 1").select("file", "at", "first", "last")
+    gone = others.unionByName(found.where("later").select("file", "at", "first", "last"))
+    return gone.groupBy(F.struct("file", "at").alias("loc")).agg(F.collect_list(F.struct("first", "last")).alias("covered"))
 
 
 def kept(text: str, covered: list[tuple[int, int]]) -> tuple[str, int, int, int]:
@@ -183,7 +194,7 @@ def remove_repeated(spark: SparkSession, docs: DataFrame) -> DataFrame:
                 cols = [pa.array([o[k] for o in out], pa.string() if k == 0 else pa.int64()) for k in range(4)]
                 yield pa.RecordBatch.from_arrays([part.column("loc"), part.column("doc_id"), *cols], names=["loc", "doc_id", "text", "n_sentences", "n_removed", "n_spans"])
 
-    return joined.select("loc", "doc_id", "text", "covered").mapInArrow(work, "loc bigint, doc_id bigint, text string, n_sentences bigint, n_removed bigint, n_spans bigint")
+    return joined.select("loc", "doc_id", "text", "covered").mapInArrow(work, f"loc {LOC}, doc_id bigint, text string, n_sentences bigint, n_removed bigint, n_spans bigint")
 
 
 def op10(spark: SparkSession, docs: DataFrame) -> DataFrame:

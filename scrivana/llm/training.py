@@ -44,9 +44,11 @@ def labelled_sample(docs: DataFrame, marks: DataFrame, label: str, learn: Column
     scale = 1 << 30
     shares = {c: min(1.0, take[c] / max(1, totals[c])) for c in totals}
     under = F.when(F.col("label") == 1, F.lit(int(scale * shares[1]))).otherwise(F.lit(int(scale * shares[0])))
-    picked = marked.where(F.pmod(F.xxhash64("doc_id", F.lit(label)), F.lit(scale)) < under).limit(2 * rows)
-    found = doc_texts(docs).join(F.broadcast(picked), "doc_id").limit(2 * rows).toPandas()
-    found = found.sort_values(["doc_id", "text"], kind="stable")
+    # Cut in a fixed order, so that repeated ids and labels give the same sample in every run.
+    order = F.xxhash64("doc_id", F.lit(label))
+    picked = marked.where(F.pmod(order, F.lit(scale)) < under).orderBy(order, "doc_id", "label").limit(2 * rows)
+    found = doc_texts(docs).join(F.broadcast(picked), "doc_id").orderBy(order, "doc_id", "label", "text").limit(2 * rows).toPandas()
+    found = found.sort_values(["doc_id", "label", "text"], kind="stable")
     y = found["label"].to_numpy(np.int64)
     return Sample(found["text"].tolist(), y, np.where(y == 1, 1 / max(shares[1], 1e-9), 1 / max(shares[0], 1e-9)))
 

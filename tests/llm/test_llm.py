@@ -9,6 +9,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -179,23 +180,59 @@ def test_sketches():
 # Fingerprints
 
 
-def test_fingerprints(spark, odd, monkeypatch):
-    monkeypatch.setattr(fingerprints, "WIDTH", 7)
-    got = fingerprints.op5(spark, table(spark, odd)).collect()
-    texts = sorted(((i, t or "") for i, t, _ in odd), key=lambda r: (-order(r[0]), r[1]))
-    want = collections.Counter()
+def brute_sketch(t, k=fingerprints.K):
+    """The k least signed hashes of the distinct shingles: XXH64 chained over the words, from seed 42."""
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    found = set()
+    for i in range(max(1, len(w) - 4) if w else 0):
+        h = 42
+        for word in w[i : i + 5]:
+            h = xxhash.xxh64_intdigest(word.encode(), h)
+        found.add(h - (1 << 64) if h >> 63 else h)
+    return sorted(found)[:k]
+
+
+def brute_likeness(a, b, k=fingerprints.K):
+    union = sorted({*a, *b})[:k]
+    return sum(h in a and h in b for h in union) / len(union) if union else 1.0
+
+
+def in_order(rows):
+    """Rows by descending doc_id, nulls last, then by the first bytes of the text."""
+    return sorted(((i, t or "") for i, t, _ in rows), key=lambda r: (r[0] is None, -(r[0] or 0), r[1].encode()[:7]))
+
+
+@pytest.mark.parametrize("bucket_bytes", [fingerprints.BUCKET_BYTES, 900])
+def test_fingerprints(spark, odd, bucket_bytes):
+    got = collections.Counter((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in fingerprints.op5(spark, table(spark, odd), bucket_bytes).collect())
+    texts, want = in_order(odd), collections.Counter()
+    as_text = lambda a: "".join(f"{x % (1 << 64):016x}" for x in a)
     for k, (i, t) in enumerate(texts):
         following = texts[(k + 1) % len(texts)][1]
         half = len(t) // 2
-        want[i, len(t), hashlib.sha256((t[: len(t) - half] + following[:half]).encode()).hexdigest()] += 1
-    assert collections.Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == want
-    by_text = collections.defaultdict(set)
-    for r in got:
-        for i, t in texts:
-            if i == r.doc_id and len(t) == r.n_chars and i not in (70, None):
-                by_text[t].add(r.fingerprint)
-        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
-    assert all(len(v) == 1 for v in by_text.values())
+        edited = t[: len(t) - half] + following[:half]
+        own, of_edited, of_next = brute_sketch(t), brute_sketch(edited), brute_sketch(following)
+        want[i, len(t), hashlib.sha256(edited.encode()).hexdigest(), as_text(own), as_text(of_edited), round(brute_likeness(own, of_edited), 9), round(brute_likeness(own, of_next), 9)] += 1
+    assert got == want
+
+
+def test_fingerprints_of_scattered_missing_and_repeated_ids(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice([None, 7, rng.randint(-(1 << 63) + 1, (1 << 63) - 1)]), f"{k:07d} " + words(rng, 20), "s") for k in range(300)]
+    docs = table(spark, rows)
+    keyed = fingerprints.descending(spark, docs)
+    found = fingerprints.cuts(spark, keyed, 2000)
+    assert 8 <= len(found) <= 40
+    sizes = [r["count"] for r in keyed.groupBy(fingerprints.bucket_of(found)["bucket"].alias("b")).count().collect()]
+    assert len(sizes) == len(found) and max(sizes) <= 60
+    texts = in_order(rows)
+    want = collections.Counter()
+    for k, (i, t) in enumerate(texts):
+        half = len(t) // 2
+        want[i, hashlib.sha256((t[: len(t) - half] + texts[(k + 1) % len(texts)][1][:half]).encode()).hexdigest()] += 1
+    assert collections.Counter((r.doc_id, r.edited_sha256) for r in fingerprints.op5(spark, docs, 2000).collect()) == want
+    alone = fingerprints.op5(spark, table(spark, rows[:1])).collect()
+    assert len(alone) == 1 and alone[0].near_next == 1.0
 
 
 def test_sketch_estimates(spark):
