@@ -6,22 +6,29 @@ same document and an earlier place).
 1. Parse. A rolling hash of GRAM bytes sets triggers: in every window of LENGTH bytes the GRAM-gram of the least
    hash (the leftmost of equal ones). What a window's trigger is depends on the window alone, so equal windows
    have equal triggers. Consecutive windows of one trigger make a phrase, their joint bytes: 1 in about 35 bytes
-   starts one. Phrases overlap by LENGTH - 1 bytes, so no window is lost between them.
-2. Dictionary. Equal phrases (hash of trigger, 64 bits, and of content, 64 bits) are found in each task and then
-   by trigger over the corpus. The first occurrence stays in the dictionary; the bytes of all others go.
-3. Suffixes. Where several distinct phrases have one trigger, some of their windows may still be equal. The
-   bytes of those phrases are brought together by trigger, the dictionary's suffixes that start a window are
-   sorted over their first LENGTH bytes (only those whose hash occurs twice), and within equal ones all but the
-   corpus's first go. A trigger with more than HOT distinct phrases (a short line that very many documents share)
-   isn't brought together: its windows are compared by 128-bit hashes, dealt by hash.
-4. The removed ranges are gathered by document, and the remaining bytes joined.
-
-Phrases travel as packed arrays, thousands to a row. What one task holds is bounded by BYTES_A_PART of text,
-apart from the phrases of one trigger, of which there are HOT at most.
-
-Defined cases: a null text is empty; texts shorter than LENGTH bytes never change; a null doc_id is smaller than
-any other; rows with the same doc_id are ordered by file place; an empty table gives an empty result; other
-columns are carried along whole.
+   starts one. Phrases overlap by LENGTH - 1 bytes, so no window is lost between them, and no window of a phrase is
+   cut off from what decides its order.
+2. Dictionary and parse. A phrase's number is the hash of its trigger and of its content, 128 bits together. The parse
+   is kept as each phrase's occurrences in corpus order, found in each task and then by trigger over the corpus; its
+   first occurrence stands for the phrase in the dictionary, and the bytes of all others go.
+3. Suffix array of the dictionary. Only phrases of one trigger have windows in common, so the phrases of a trigger come
+   together, with all others of their part, and where a trigger has several, their suffixes are sorted over
+   LENGTH bytes by doubling: ranks of 8 bytes from each place, then of 16, 32, 64 and LENGTH.
+4. Corpus order. Suffixes that are equal over LENGTH bytes follow each other; each stands for the place of its phrase's
+   first occurrence. In corpus order all but the first of them go.
+5. The removed ranges are gathered by document, and the remaining bytes joined.
+
+A suffix's order past LENGTH bytes decides nothing, and phrases hold every window whole, so the order of what follows a
+phrase in the parse, which a suffix array of the parse would give, is never asked for: its lists of occurrences do.
+
+Phrases travel as packed arrays, thousands to a row. What one task holds is bounded by BYTES_A_PART of text, apart from
+the phrases of one trigger. Triggers are counted beforehand; one with more than HOT distinct phrases, which a task can't
+hold (a short line that very many documents share), has its phrases dealt by content, and its windows by
+content too: by 128 bits of their hash.
+
+Defined cases: a null text is empty; texts shorter than LENGTH bytes never change; a very long text is parsed in
+pieces that overlap by a window; a null doc_id is smaller than any other; rows with the same doc_id, repeated rows
+among them, are ordered by file place; an empty table gives an empty result; other columns are carried along whole.
 """
 
 from __future__ import annotations
@@ -35,12 +42,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivana.llm.common import packed, staged
+from scrivana.llm.common import forget, packed, staged
 
 LENGTH, GRAM = 100, 24
 WINDOW = LENGTH - GRAM + 1
-#: Distinct phrases of a trigger up to which their bytes meet in one task.
-HOT = 2_000
+#: Distinct phrases of a trigger up to which their bytes (150 each, about) meet in one task.
+HOT = 100_000
 #: Text that one part of the dictionary stands for, about; phrases that a task combines at a time.
 BYTES_A_PART, FLUSH = 32 << 20, 600_000
 #: Windows of a document that are parsed at a time, so that places fit in the low bits of a trigger's key.
@@ -106,7 +113,7 @@ def pack(columns: list[np.ndarray]) -> list[bytes]:
 _FIELDS = [("doc", None), ("start", None), ("trigger", np.uint64), ("content", np.uint64), ("windows", np.uint8)]
 _PACKED = "bucket int, doc bigint, kind int, a binary, b binary, c binary, d binary, e binary"
 _NAMES = ["bucket", "doc", "kind", "a", "b", "c", "d", "e"]
-PHRASES, RANGES, ASKED, BYTES, HASHES = range(5)
+PHRASES, RANGES, ASKED, BYTES, HASHES, COUNTS = range(6)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -167,6 +174,11 @@ def parse(docs: DataFrame, buckets: int) -> DataFrame:
         if later.any():
             yield from _some(range_rows(doc[later], start[later], (start + windows + LENGTH - 1)[later]))
         first = ~later
+        # Triggers that are met again in this flush; what one has more than that elsewhere is one row a flush at most.
+        starts = np.flatnonzero(~same_as_before(trigger[first]))
+        times = np.diff(np.append(starts, first.sum()))
+        again = times > 1
+        yield _batch([(0, 0, COUNTS, trigger[first][starts][again].tobytes(), times[again].astype(np.int64).tobytes())])
         yield from _some(by_bucket([doc[first], start[first], trigger[first], content[first], windows[first].astype(np.uint8)], trigger[first], buckets, PHRASES))
 
     def work(batches):
@@ -207,8 +219,42 @@ def _gathered(batches, kind: int, kinds: list) -> tuple[list[np.ndarray] | None,
     return ([np.concatenate(c) for c in zip(*parts, strict=True)] if parts else None), others, lasts
 
 
-def dictionary(parsed: DataFrame, parts: int, hot: int) -> DataFrame:
+def hot_triggers(spark: SparkSession, parsed: DataFrame, hot: int) -> np.ndarray:
+    """The triggers with more than `hot` phrases, sorted; there is at most one for each `hot` phrases of the corpus."""
+
+    def work(batches):
+        for b in batches:
+            for trigger, times in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(trigger, np.int64)), pa.array(np.frombuffer(times, np.int64))], names=["trigger", "n"])
+
+    each = parsed.where(F.col("kind") == COUNTS).select("a", "b").mapInArrow(work, "trigger bigint, n bigint")
+    found = each.groupBy("trigger").agg(F.sum("n").alias("n")).where(F.col("n") > hot).select("trigger").collect()
+    return np.sort(np.array([r.trigger for r in found], dtype=np.int64).view(np.uint64))
+
+
+def dealt(parsed: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
+    """Phrases and ranges with the phrases of hot triggers in buckets by content."""
+    rows = parsed.where(F.col("kind") != COUNTS)
+    if not len(hot):
+        return rows
+    held = set((hot % np.uint64(buckets)).tolist())
+    mixed = (F.col("kind") == PHRASES) & F.col("bucket").isin(sorted(held)) if len(held) <= 1000 else F.col("kind") == PHRASES
+    sent = parsed.sparkSession.sparkContext.broadcast(hot)
+
+    def work(batches):
+        for b in batches:
+            found, _, _ = _gathered([b], PHRASES, [np.uint64, np.uint64, np.uint8])
+            if found is not None:
+                doc, start, trigger, content, windows = found
+                key = np.where(np.isin(trigger, sent.value), content, trigger)
+                yield from _some(by_bucket([doc, start, trigger, content, windows], key, buckets, PHRASES))
+
+    return rows.where(~mixed).unionByName(rows.where(mixed).mapInArrow(work, _PACKED))
+
+
+def dictionary(parsed: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
     """Ranges of all but the first of equal phrases; what is asked of documents, where a trigger has several phrases."""
+    sent = parsed.sparkSession.sparkContext.broadcast(hot)
 
     def work(batches):
         found, others, _ = _gathered(batches, PHRASES, [np.uint64, np.uint64, np.uint8])
@@ -222,9 +268,9 @@ def dictionary(parsed: DataFrame, parts: int, hot: int) -> DataFrame:
         yield from _some(range_rows(doc[later], start[later], (start + windows + LENGTH - 1)[later]))
         doc, start, trigger, windows = (x[~later] for x in (doc, start, trigger, windows))
         edges = np.append(np.flatnonzero(~same_as_before(trigger)), len(trigger))
-        several = np.repeat(np.diff(edges), np.diff(edges))
-        ask = several > 1
-        doc, start, trigger, windows, much = doc[ask], start[ask], trigger[ask], windows[ask], (several > hot)[ask]
+        several, much = np.repeat(np.diff(edges), np.diff(edges)), np.isin(trigger, sent.value)
+        ask = (several > 1) | much
+        doc, start, trigger, windows, much = doc[ask], start[ask], trigger[ask], windows[ask], much[ask]
         order = np.lexsort((start, doc))
         doc, start, trigger, windows, much = (x[order] for x in (doc, start, trigger, windows, much))
         edges = np.append(np.flatnonzero(~same_as_before(doc)), len(doc))
@@ -277,18 +323,30 @@ def answers(asked: DataFrame, buckets: int) -> DataFrame:
     return asked.mapInArrow(work, _PACKED)
 
 
+def _ranks(first: np.ndarray, second: np.ndarray, apart: int) -> np.ndarray:
+    """Ranks of the pairs (first at a place, second `apart` places on); places without the latter pair with 0."""
+    key = first.astype(np.uint64) << np.uint64(32)
+    key[: max(0, len(key) - apart)] |= second[apart:].astype(np.uint64)
+    return np.unique(key, return_inverse=True)[1]
+
+
+def suffix_ranks(text: np.ndarray) -> np.ndarray:
+    """The rank of each place by its next LENGTH bytes, by doubling; right where so many bytes follow."""
+    padded = np.concatenate([text, np.zeros(8, np.uint8)])
+    eight = np.zeros(len(text), np.uint64)
+    for k in range(8):
+        eight = eight << np.uint64(8) | padded[k : k + len(text)]
+    rank, size = np.unique(eight, return_inverse=True)[1], 8
+    while 2 * size <= LENGTH:
+        rank, size = _ranks(rank, rank, size), 2 * size
+    return _ranks(rank, rank, LENGTH - size) if size < LENGTH else rank
+
+
 def sorted_suffixes(text: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order, same): the suffixes at these places sorted over LENGTH bytes; whether one equals the one before it."""
-    words = -(-LENGTH // 8)
-    padded = np.concatenate([text, np.zeros(8 * words, np.uint8)])
-    keys = []
-    for k in range(words):
-        width = min(8, LENGTH - 8 * k)
-        word = np.zeros((len(places), 8), np.uint8)
-        word[:, :width] = padded[places[:, None] + (8 * k + np.arange(width))]
-        keys.append(word.view(">u8").ravel().astype(np.uint64))
-    order = np.lexsort(keys[::-1])
-    return order, same_as_before(*[k[order] for k in keys])
+    rank = suffix_ranks(text)[places]
+    order = np.argsort(rank, kind="stable")
+    return order, same_as_before(rank[order])
 
 
 def suffixes(given: DataFrame, parts: int) -> DataFrame:
@@ -305,22 +363,11 @@ def suffixes(given: DataFrame, parts: int) -> DataFrame:
             raw = np.frombuffer(b"".join(blobs), np.uint8)
             at = np.concatenate([[0], np.cumsum(windows + LENGTH - 1)[:-1]])
             inside = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-            places, doc, start = np.repeat(at, windows) + inside, np.repeat(doc, windows), np.repeat(start, windows) + inside
-            # Equal windows have equal hashes; only those that occur twice are sorted by their bytes.
-            h = gram_hashes(raw)
-            mix = h[places]
-            for k in (1, 2, 3):
-                mix = (mix ^ (mix >> np.uint64(30))) * _TIMES[k] + h[places + min(k * GRAM, LENGTH - GRAM)]
-            mix = mix * _TIMES[4] + h[places + LENGTH - GRAM]
-            order = np.argsort(mix, kind="stable")
-            twin = np.zeros(len(mix), bool)
-            again = same_as_before(mix[order])
-            twin[order[again]] = True
-            twin[order[np.flatnonzero(again) - 1]] = True
-            places, doc, start = places[twin], doc[twin], start[twin]
-            order, same = sorted_suffixes(raw, places)
-            group = np.cumsum(~same)
-            doc, start = doc[order], start[order]
+            order, same = sorted_suffixes(raw, np.repeat(at, windows) + inside)
+            # Only suffixes that equal a neighbour can go; those stand for places of the corpus.
+            twin = same | np.append(same[1:], False)
+            group, order = np.cumsum(~same)[twin], order[twin]
+            doc, start = np.repeat(doc, windows)[order], (np.repeat(start, windows) + inside)[order]
             order = np.lexsort((start, doc, group))
             later = same_as_before(group[order])
             doc, start = doc[order][later], start[order][later]
@@ -353,7 +400,10 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, hot: int = HOT) -> Data
     texts, size = placed_texts(spark, docs)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BYTES_A_PART))
     slim = texts.select("doc", "text")
-    found = staged(spark, dictionary(parse(slim.where(F.octet_length("text") >= LENGTH), 4 * parts), parts, hot), "phrases")
+    parsed = staged(spark, parse(slim.where(F.octet_length("text") >= LENGTH), 4 * parts), "parse")
+    much = hot_triggers(spark, parsed, hot)
+    found = staged(spark, dictionary(dealt(parsed, much, 4 * parts), parts, much), "phrases")
+    forget(spark, parsed)
     asked = found.where(F.col("kind") == ASKED).groupBy("doc").agg(F.collect_list(F.struct("a", "b", "c", "d")).alias("asked"))
     more = suffixes(answers(texts.join(asked, "doc").select("doc", "text", "asked"), 4 * parts), parts)
     gone = found.where(F.col("kind") == RANGES).select("doc", "a", "b").unionByName(more.where(F.col("kind") == RANGES).select("doc", "a", "b"))
