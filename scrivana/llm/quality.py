@@ -1,25 +1,26 @@
 """Quality classifier: random-indexing word vectors, pooled per document, and a two-layer numpy network.
 
 Every word has a sparse ternary index vector from its hash. A word's context vector is the sum of the index
-vectors of its neighbours within REACH places, over a bounded sample of labelled rows (SAMPLE_ROWS); words that
-the sample has fewer than LEAST times share the vector of their shape (case, digits, last characters), and so
-does every word at scoring time that the sample lacks. A document is the mean of its words' vectors and the
+vectors of its neighbours within REACH places, over all documents: words are hashed to WORDS rows and their shapes
+(case, digits, last characters) to SHAPES more, each task sums its own part of the table, and the parts are added by
+groups of rows. Sums are whole numbers, so the order of adding makes no difference. Words whose row is met fewer
+than LEAST times share the vector of their shape. A document is the mean of its words' vectors and the
 mean of its shapes' vectors, with a few figures on repetition and length; a network with one hidden layer,
-trained on the driver by gradient steps, scores it. Its probabilities are calibrated by a temperature on a
-part of the sample that it was not trained on.
+trained on the driver by gradient steps on a bounded sample of labelled rows (SAMPLE_ROWS), scores it. Its
+probabilities are calibrated by a temperature on a part of the sample that it was not trained on.
 
-Scoring reads each text once; which vectors a word has is found once per worker and kept (bounded).
+Both passes read each text once; which rows a word has is found once per worker and kept (bounded).
 
 Defined cases: null and empty texts have the score of a document without words; labels, lang, source and
-doc_id are no inputs of a score, so equal texts have equal scores; null labels are not learned from; without
-labelled rows of both classes every score is the share of good labels, or 0 without labels; an empty table
+doc_id are no inputs of a score, so equal texts have equal scores; a very long text is summed and pooled in pieces;
+repeated rows are scored alike; null labels are not learned from; without labelled rows of both classes every score is the share of good labels, or 0 without labels; an empty table
 gives an empty result; other columns are carried along whole.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from operator import eq
 
 import numpy as np
@@ -31,9 +32,13 @@ from pyspark.sql import functions as F
 from scrivana.llm.common import LOC, packed
 from scrivana.llm.training import Sample, doc_texts, fold, sample_of
 
-#: The most labelled rows that the classifier is fitted on, and the most words with vectors of their own.
-SAMPLE_ROWS, MOST_WORDS = 3_000, 30_000
+#: The most labelled rows that the network is fitted on.
+SAMPLE_ROWS = 6_000
+#: Rows of the table of vectors: for words, and for shapes.
+WORDS, SHAPES = 1 << 15, 1 << 12
 SIZE, NONZERO, REACH, LEAST = 48, 6, 2, 5
+#: Words that a task sums at a time; groups of rows that are added up apart.
+FLUSH, GROUPS = 500_000, 32
 HIDDEN, EPOCHS, RATE, DECAY = 24, 60, 3e-3, 1e-4
 THRESHOLD, FOLDS, HELD_OUT = 0.5, 3, 1
 _FIGURES = 6
@@ -59,20 +64,112 @@ def shape(word: str) -> str:
     return f"\x00{kind}{length}{tail}"
 
 
-def index_vector(word: str) -> np.ndarray:
-    """Sparse ternary vector of a word."""
-    rng = np.random.default_rng(xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")))
-    out = np.zeros(SIZE, np.float32)
-    out[rng.choice(SIZE, NONZERO, replace=False)] = np.where(np.arange(NONZERO) % 2, 1, -1)
+def _hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
+
+
+def index_places() -> np.ndarray:
+    """The places of each row's nonzero numbers: +1 at the even ones, -1 at the odd ones."""
+    rng = np.random.default_rng(14)
+    return np.argsort(rng.random((WORDS + SHAPES, SIZE)), axis=1)[:, :NONZERO].astype(np.int32)
+
+
+class Rows:
+    """The rows of words: own << 32 | that of the shape; keeps what it has found about up to MOST words."""
+
+    MOST = 1_000_000
+
+    def __init__(self, enough: np.ndarray | None = None):
+        self.enough, self.known = enough, {}
+
+    def find(self, word: str) -> int:
+        of_shape = WORDS + _hash(shape(word)) % SHAPES
+        own = _hash(word) % WORDS
+        found = (own if self.enough is None or self.enough[own] else of_shape) << 32 | of_shape
+        if len(self.known) >= self.MOST:
+            self.known.clear()
+        self.known[word] = found
+        return found
+
+    def of(self, words: list[str]) -> np.ndarray:
+        known, find = self.known, self.find
+        return np.array([known[w] if w in known else find(w) for w in words], dtype=np.int64)
+
+
+def contexts(found: list[np.ndarray], places: np.ndarray) -> np.ndarray:
+    """(rows, 1 + SIZE): how often each row is met, and the sum of its neighbours' index vectors."""
+    n = WORDS + SHAPES
+    both = np.concatenate(found)
+    own, of_shape = both >> 32, both & 0xFFFFFFFF
+    doc = np.repeat(np.arange(len(found)), [len(f) for f in found])
+    out = np.zeros((n, 1 + SIZE), np.int64)
+    out[:, 0] = np.bincount(own, minlength=n) + np.bincount(of_shape, minlength=n)
+    total = np.zeros(n * SIZE, np.int64)
+    for reach in range(1, REACH + 1):
+        near = np.flatnonzero(doc[reach:] == doc[:-reach])
+        for a, b in ((near, near + reach), (near + reach, near)):
+            near_by = places[own[b]]
+            for rows in (own[a], of_shape[a]):
+                at = rows[:, None] * SIZE + near_by
+                total += np.bincount(at[:, ::2].ravel(), minlength=n * SIZE) - np.bincount(at[:, 1::2].ravel(), minlength=n * SIZE)
+    out[:, 1:] = total.reshape(n, SIZE)
+    return out
+
+
+def _sums(texts) -> np.ndarray | None:
+    """contexts() of an iterable of texts, FLUSH words at a time; a longer text goes in pieces."""
+    rows, places, held, size, out = Rows(), index_places(), [], 0, None
+    for text in texts:
+        words = (text or "").split()
+        for at in range(0, len(words), FLUSH):
+            found = rows.of(words[at : at + FLUSH])
+            held.append(found)
+            size += len(found)
+            if size >= FLUSH:
+                out = contexts(held, places) if out is None else out + contexts(held, places)
+                held, size = [], 0
+    if held:
+        out = contexts(held, places) if out is None else out + contexts(held, places)
+    return out
+
+
+def corpus_contexts(docs: DataFrame) -> np.ndarray:
+    """The sums over all texts. What comes to the driver is the table, whatever the number of documents."""
+    n, size = WORDS + SHAPES, 1 + SIZE
+    edges = np.linspace(0, n, GROUPS + 1).astype(int)
+
+    def summed(batches):
+        out = _sums(t for b in batches for t in b.column("text").to_pylist())
+        if out is None:
+            return
+        for g in range(GROUPS):
+            rows = edges[g] + np.flatnonzero(out[edges[g] : edges[g + 1], 0])
+            # Bytes of equal weight together, which the shuffle's compression makes small.
+            values = np.ascontiguousarray(out[rows].view(np.uint8).reshape(-1, 8).T).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([rows.astype(np.int32).tobytes()]), pa.array([values])], names=["g", "rows", "sums"])
+
+    def added(batches):
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            for g, rows, sums in zip(*(b.column(c).to_pylist() for c in ("g", "rows", "sums")), strict=True):
+                of = held.setdefault(g, np.zeros((edges[g + 1] - edges[g], size), np.int64))
+                of[np.frombuffer(rows, np.int32) - edges[g]] += np.ascontiguousarray(np.frombuffer(sums, np.uint8).reshape(8, -1).T).view(np.int64).reshape(-1, size)
+        for g, of in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([of.tobytes()])], names=["g", "sums"])
+
+    parts = docs.mapInArrow(summed, "g int, rows binary, sums binary").repartition(GROUPS, "g").mapInArrow(added, "g int, sums binary")
+    out = np.zeros((n, size), np.int64)
+    for r in parts.collect():
+        out[edges[r.g] : edges[r.g + 1]] = np.frombuffer(r.sums, np.int64).reshape(-1, size)
     return out
 
 
 @dataclass
 class Model:
-    """The vectors of words and shapes by row, and the network."""
+    """The vectors by row, which rows are met often enough, and the network."""
 
-    rows: dict[str, int] = field(default_factory=dict)
-    vectors: np.ndarray = field(default_factory=lambda: np.zeros((1, SIZE), np.float32))
+    vectors: np.ndarray | None = None
+    enough: np.ndarray | None = None
     mean: np.ndarray | None = None
     spread: np.ndarray | None = None
     layers: tuple | None = None
@@ -80,39 +177,34 @@ class Model:
     constant: float | None = None
 
 
-class Pooler:
-    """Pools texts with a model's vectors; keeps the rows of up to MOST words."""
+def with_vectors(sums: np.ndarray) -> Model:
+    """A model with the vectors of these sums. Its own index vector tells a word from others in the same contexts."""
+    length = np.linalg.norm(sums[:, 1:], axis=1, keepdims=True)
+    vectors = (sums[:, 1:] / np.maximum(length, 1e-9)).astype(np.float32)
+    places = index_places()
+    for k in range(NONZERO):
+        vectors[np.arange(len(vectors)), places[:, k]] += (-1) ** k / np.sqrt(NONZERO)
+    return Model(vectors=vectors, enough=sums[:, 0] >= LEAST)
 
-    MOST = 1_000_000
 
-    def __init__(self, model: Model):
-        self.model, self.known = model, {}
+class Pooler:
+    """Pools texts with a model's vectors."""
 
-    def find(self, word: str) -> int:
-        """The word's row and its shape's row, as one number. Row 0 is that of shapes the sample lacks."""
-        rows = self.model.rows
-        of_shape = rows.get(shape(word), 0)
-        found = rows.get(word, of_shape) << 32 | of_shape
-        if len(self.known) >= self.MOST:
-            self.known.clear()
-        self.known[word] = found
-        return found
+    def __init__(self, model: Model):
+        self.model, self.rows = model, Rows(model.enough)
 
     def pooled(self, text: str) -> np.ndarray:
         words = text.split()
         n = len(words)
         if not n:
             return np.zeros(2 * SIZE + _FIGURES, np.float32)
-        known, find = self.known, self.find
-        both = np.array([known[w] if w in known else find(w) for w in words], dtype=np.int64)
+        both = self.rows.of(words)
         own, shapes = both >> 32, both & 0xFFFFFFFF
         vectors = self.model.vectors
         top = Counter(words).most_common(1)[0][1]
         same = sum(map(eq, words, words[1:]))
         figures = [np.log1p(n), len(set(words)) / n, len(set(words)) / n**0.8, same / n, top / n, len(text) / n / 10]
-        sums = [np.bincount(x, minlength=1).astype(np.float32) for x in (own, shapes)] if n > 4 * len(vectors) else None
-        means = [s @ vectors[: len(s)] / n for s in sums] if sums else [mean_rows(vectors, x) for x in (own, shapes)]
-        return np.concatenate([*means, np.array(figures, np.float32)])
+        return np.concatenate([mean_rows(vectors, own), mean_rows(vectors, shapes), np.array(figures, np.float32)])
 
 
 def mean_rows(vectors: np.ndarray, rows: np.ndarray, piece: int = 20_000) -> np.ndarray:
@@ -123,54 +215,20 @@ def mean_rows(vectors: np.ndarray, rows: np.ndarray, piece: int = 20_000) -> np.
     return (total / len(rows)).astype(np.float32)
 
 
-def learn_vectors(texts: list[str]) -> Model:
-    """Context vectors of the words and shapes of texts."""
-    counts: Counter = Counter()
-    for t in texts:
-        counts.update(t.split())
-    known = [w for w, c in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:MOST_WORDS] if c >= LEAST]
-    shapes = sorted({shape(w) for w in counts})
-    model = Model(rows={w: k + 1 for k, w in enumerate([*known, *shapes])})
-    n = len(model.rows) + 1
-    index = np.zeros((n, SIZE), np.float32)
-    for w, k in model.rows.items():
-        index[k] = index_vector(w)
-    del counts
-    pooler, found = Pooler(model), []
-    for t in texts:
-        if w := t.split():
-            found.append(np.array([pooler.known[x] if x in pooler.known else pooler.find(x) for x in w], dtype=np.int64))
-    context = np.zeros((n, SIZE), np.float64)
-    if found:
-        both = np.concatenate(found)
-        own, of_shape = both >> 32, both & 0xFFFFFFFF
-        doc = np.repeat(np.arange(len(found)), [len(f) for f in found])
-        for reach in range(1, REACH + 1):
-            near = np.flatnonzero(doc[reach:] == doc[:-reach])
-            for a, b in ((near, near + reach), (near + reach, near)):
-                for target in (own, of_shape):
-                    rows, other = target[a], own[b]
-                    # Rows of shapes are met both as shapes and as rare words; the latter come from `own`.
-                    for d in range(SIZE):
-                        context[:, d] += np.bincount(rows, index[other, d], n)
-    # Its own index vector tells a word from others in the same contexts.
-    length = np.linalg.norm(context, axis=1, keepdims=True)
-    model.vectors = (context / np.maximum(length, 1e-9) + index / np.sqrt(NONZERO)).astype(np.float32)
-    return model
-
-
 def forward(layers: tuple, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     first, bias, second, shift = layers
     hidden = np.tanh(x @ first + bias)
     return hidden, hidden @ second + shift
 
 
-def train(sample: Sample) -> Model:
-    """Vectors, network and temperature."""
+def train(sample: Sample, sums: np.ndarray | None = None) -> Model:
+    """Network and temperature, on the vectors of the sums, or of the sample's own texts without any."""
     y = sample.marks.astype(np.float64)
     if len(set(sample.marks.tolist())) < 2:
         return Model(constant=float(y.mean()) if len(y) else 0.0)
-    model = learn_vectors(sample.texts)
+    if sums is None:
+        sums = _sums(sample.texts)
+    model = with_vectors(np.zeros((WORDS + SHAPES, 1 + SIZE), np.int64) if sums is None else sums)
     pooler = Pooler(model)
     x = np.array([pooler.pooled(t) for t in sample.texts], dtype=np.float64)
     judge = np.array([xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) % 5 == 0 for t in sample.texts])
@@ -236,16 +294,23 @@ def scored(spark: SparkSession, rows: DataFrame, model: Model, keep: str = "doc_
     return rows.select(keep, "text").mapInArrow(work, f"{keep} {LOC if keep == 'loc' else 'bigint'}, score double")
 
 
+def model_for(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Model:
+    """Vectors from all of docs, the network from the labelled sample."""
+    sample = sample_of(spark, docs, sf_dir, "quality", FOLDS, HELD_OUT, SAMPLE_ROWS)
+    if len(set(sample.marks.tolist())) < 2:
+        return train(sample)
+    return train(sample, corpus_contexts(doc_texts(docs).select("text")))
+
+
 def op6(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The contract's columns."""
-    model = train(sample_of(spark, docs, sf_dir, "quality", FOLDS, HELD_OUT, SAMPLE_ROWS))
-    found = scored(spark, doc_texts(docs), model)
+    found = scored(spark, doc_texts(docs), model_for(spark, docs, sf_dir))
     return found.select("doc_id", F.coalesce(fold(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = THRESHOLD) -> DataFrame:
     """docs that score `least` or more; the columns are those of docs."""
-    model = train(sample_of(spark, docs, sf_dir, "quality", FOLDS, HELD_OUT, SAMPLE_ROWS))
+    model = model_for(spark, docs, sf_dir)
     rows = packed(spark, docs)
     found = scored(spark, rows.select("loc", F.coalesce(F.col("row.text"), F.lit("")).alias("text")), model, "loc").where(F.col("score") < least)
     return rows.join(found, "loc", "left_anti").select("row.*")

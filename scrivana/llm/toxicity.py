@@ -12,8 +12,8 @@ Scoring reads each text once. A word's weight is found once per worker and kept
 look-up per word. Sentences longer than LONGEST words are judged in parts.
 
 Defined cases: null and empty texts have the score of a document without sentences; labels, lang, source and
-doc_id are no inputs of a score, so equal texts have equal scores; null labels are not learned from; without
-labelled rows of both classes every score is the share of toxic labels, or 0 without labels; an empty table
+doc_id are no inputs of a score, so equal texts have equal scores; a very long text is as many sentences, in parts of
+LONGEST words; repeated rows are scored alike; null labels are not learned from; without labelled rows of both classes every score is the share of toxic labels, or 0 without labels; an empty table
 gives an empty result; other columns are carried along whole.
 """
 
@@ -31,7 +31,7 @@ from scrivana.llm.common import packed
 from scrivana.llm.training import Sample, doc_texts, fold, sample_of
 
 #: The most labelled rows that the classifier is fitted on.
-SAMPLE_ROWS = 5_000
+SAMPLE_ROWS = 8_000
 BUCKETS, PREFIXES, LONGEST = 1 << 19, (4, 5, 6, 7, 8), 40
 #: Buckets that fewer documents have, or whose log odds are nearer to 0 in standard errors, get no weight.
 LEAST_DOCS, LEAST_Z = 4, 3.0
@@ -141,20 +141,24 @@ class Corpus:
 
     def __init__(self, texts: list[str]):
         self.number: dict[str, int] = {"": 0}
-        tokens, starts, owner, at = [], [], [], 0
+        tokens, starts, owner, held, at = [], [], [], [], 0
         for k, text in enumerate(texts):
             raw = text.lower().split()
             if not raw:
                 continue
             first = sentence_starts(np.array([t[-1] in ".!?" for t in raw]))
             tokens.append(np.array([self.of(clean(t)) for t in raw], dtype=np.int32))
-            starts.append(first + at)
+            held.append(np.unique(tokens[-1]))
+            starts.append((first + at).astype(np.int32))
             owner.append(np.full(len(first), k, dtype=np.int32))
             at += len(raw)
         for row in IDENTITY:
             for term in row.split():
                 self.of(term)
         self.tokens, self.starts, self.owner = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (tokens, starts, owner))
+        #: (text, word) of the words that each text has, once each.
+        self.pairs = (np.repeat([o[0] for o in owner], [len(h) for h in held]).astype(np.int32), np.concatenate(held)) if held else (np.zeros(0, np.int32), np.zeros(0, np.int32))
+        del tokens, held
         self.words = list(self.number)
         # A word without some of its beginnings has the bucket BUCKETS there, whose weight is 0.
         self.buckets = np.full((len(self.words), 1 + len(PREFIXES)), BUCKETS, dtype=np.int32)
@@ -171,8 +175,10 @@ class Corpus:
 
     def logits(self, weights: np.ndarray) -> np.ndarray:
         """Of every sentence."""
-        each = np.append(weights, 0)[self.buckets].sum(1)
-        return np.add.reduceat(each[self.tokens], self.starts)
+        weights, each = np.append(weights, 0), np.zeros(len(self.words))
+        for column in self.buckets.T:
+            each += weights[column]
+        return np.add.reduceat(each.astype(np.float32)[self.tokens], self.starts, dtype=np.float64)
 
 
 def train(sample: Sample, counterfactual: float = COUNTERFACTUAL) -> Model:
@@ -229,10 +235,7 @@ def ranks_within(group: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 def first_weights(corpus: Corpus, marks: np.ndarray, learn: np.ndarray) -> np.ndarray:
     """Smoothed log odds of the documents that have a bucket; 0 where they can't be told from 0."""
-    lengths = np.diff(np.append(corpus.starts, len(corpus.tokens)))
-    doc = np.repeat(corpus.owner, lengths)
-    pairs = np.unique(doc.astype(np.int64) * len(corpus.words) + corpus.tokens)
-    doc, word = pairs // len(corpus.words), pairs % len(corpus.words)
+    doc, word = corpus.pairs
     held = np.zeros((2, BUCKETS + 1))
     for y in (0, 1):
         use = (marks[doc] == y) & learn[doc]
@@ -251,7 +254,7 @@ def fit(corpus: Corpus, chosen: np.ndarray, labels: np.ndarray, use: np.ndarray,
         tokens = corpus.sentence(s)
         found = corpus.buckets[tokens].ravel()
         index.append(found)
-        row.append(np.full(len(found), k))
+        row.append(np.full(len(found), k, np.int32))
         for a, b in counterfactuals([corpus.words[t] for t in tokens], k):
             plus.append(corpus.of(a))
             minus.append(corpus.of(b))
