@@ -12,8 +12,8 @@ same document and an earlier place).
    is kept as each phrase's occurrences in corpus order, found in each task and then by trigger over the corpus; its
    first occurrence stands for the phrase in the dictionary, and the bytes of all others go.
 3. Suffix array of the dictionary. Only phrases of one trigger have windows in common, so the phrases of a trigger come
-   together, with all others of their part, and where a trigger has several, their suffixes are sorted over
-   LENGTH bytes by doubling: ranks of 8 bytes from each place, then of 16, 32, 64 and LENGTH.
+   together, and where a trigger has several, the suffixes of a slice of SLICE_BYTES (with whole triggers) are sorted
+   over LENGTH bytes by doubling: ranks of 8 bytes from each place, then of 16, 32, 64 and LENGTH.
 4. Corpus order. Suffixes that are equal over LENGTH bytes follow each other; each stands for the place of its phrase's
    first occurrence. In corpus order all but the first of them go.
 5. The removed ranges are gathered by document, and the remaining bytes joined.
@@ -46,8 +46,8 @@ from scrivana.llm.common import forget, packed, staged
 
 LENGTH, GRAM = 100, 24
 WINDOW = LENGTH - GRAM + 1
-#: Distinct phrases of a trigger up to which their bytes (150 each, about) meet in one task.
-HOT = 100_000
+#: Distinct phrases of a trigger up to which their bytes (150 each, about) meet in one task; bytes that are sorted at a time.
+HOT, SLICE_BYTES = 20_000, 1 << 20
 #: Text that one part of the dictionary stands for, about; phrases that a task combines at a time.
 BYTES_A_PART, FLUSH = 32 << 20, 600_000
 #: Windows of a document that are parsed at a time, so that places fit in the low bits of a trigger's key.
@@ -323,23 +323,30 @@ def answers(asked: DataFrame, buckets: int) -> DataFrame:
     return asked.mapInArrow(work, _PACKED)
 
 
-def _ranks(first: np.ndarray, second: np.ndarray, apart: int) -> np.ndarray:
-    """Ranks of the pairs (first at a place, second `apart` places on); places without the latter pair with 0."""
-    key = first.astype(np.uint64) << np.uint64(32)
-    key[: max(0, len(key) - apart)] |= second[apart:].astype(np.uint64)
-    return np.unique(key, return_inverse=True)[1]
+def _ranks(keys: np.ndarray) -> np.ndarray:
+    """The rank of each key; equal keys have equal ranks."""
+    order = np.argsort(keys)
+    ranks = np.empty(len(keys), np.uint32)
+    ranks[order] = np.cumsum(~same_as_before(keys[order]), dtype=np.uint32)
+    return ranks
 
 
 def suffix_ranks(text: np.ndarray) -> np.ndarray:
     """The rank of each place by its next LENGTH bytes, by doubling; right where so many bytes follow."""
     padded = np.concatenate([text, np.zeros(8, np.uint8)])
-    eight = np.zeros(len(text), np.uint64)
+    keys = np.zeros(len(text), np.uint64)
     for k in range(8):
-        eight = eight << np.uint64(8) | padded[k : k + len(text)]
-    rank, size = np.unique(eight, return_inverse=True)[1], 8
-    while 2 * size <= LENGTH:
-        rank, size = _ranks(rank, rank, size), 2 * size
-    return _ranks(rank, rank, LENGTH - size) if size < LENGTH else rank
+        keys <<= np.uint64(8)
+        keys |= padded[k : k + len(text)]
+    size = 8
+    while size < LENGTH:
+        rank, apart = _ranks(keys), min(size, LENGTH - size)
+        # Pairs of ranks; where too few bytes follow, the second one is 0.
+        keys[:] = rank
+        keys <<= np.uint64(32)
+        keys[: max(0, len(keys) - apart)] |= rank[apart:]
+        size += apart
+    return _ranks(keys)
 
 
 def sorted_suffixes(text: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -349,6 +356,43 @@ def sorted_suffixes(text: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, n
     return order, same_as_before(rank[order])
 
 
+def slices(doc: np.ndarray, start: np.ndarray, trigger: np.ndarray, windows: np.ndarray, raw: np.ndarray):
+    """(doc, start, windows, bytes) of phrases by trigger, about SLICE_BYTES at a time."""
+    lengths = windows.astype(np.int64) + LENGTH - 1
+    at = np.cumsum(lengths) - lengths
+    order = np.argsort(trigger, kind="stable")
+    firsts = np.flatnonzero(~same_as_before(trigger[order]))
+    upto = np.cumsum(lengths[order])
+    begin = 0
+    while begin < len(order):
+        # As many triggers as fit, one at least.
+        done = upto[begin - 1] if begin else 0
+        end = np.searchsorted(upto, done + SLICE_BYTES, "right")
+        after = firsts[np.searchsorted(firsts, max(end, begin + 1), "right") - 1] if end < len(order) else len(order)
+        if after <= begin:
+            following = np.searchsorted(firsts, begin, "right")
+            after = firsts[following] if following < len(firsts) else len(order)
+        rows = order[begin:after]
+        n = lengths[rows]
+        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        yield doc[rows], start[rows], n - LENGTH + 1, raw[np.repeat(at[rows], n) + inside]
+        begin = after
+
+
+def repeated_suffixes(doc: np.ndarray, start: np.ndarray, windows: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(doc, start) of the windows of some phrases that equal one that is earlier in the corpus."""
+    at = np.cumsum(windows + LENGTH - 1) - (windows + LENGTH - 1)
+    inside = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+    order, same = sorted_suffixes(raw, np.repeat(at, windows) + inside)
+    # Only suffixes that equal a neighbour can go; each stands for a place of the corpus.
+    twin = same | np.append(same[1:], False)
+    group, order = np.cumsum(~same)[twin], order[twin]
+    doc, start = np.repeat(doc, windows)[order], (np.repeat(start, windows) + inside)[order]
+    order = np.lexsort((start, doc, group))
+    later = same_as_before(group[order])
+    return doc[order][later], start[order][later]
+
+
 def suffixes(given: DataFrame, parts: int) -> DataFrame:
     """Ranges of the windows that also start earlier."""
 
@@ -358,19 +402,8 @@ def suffixes(given: DataFrame, parts: int) -> DataFrame:
         held = pa.Table.from_batches([_batch([r for r in others if r[2] == HASHES])]).to_batches()
         yield from _some([r for r in others if r[2] == RANGES])
         if found is not None:
-            doc, start, _, windows = found
-            windows = windows.astype(np.int64)
-            raw = np.frombuffer(b"".join(blobs), np.uint8)
-            at = np.concatenate([[0], np.cumsum(windows + LENGTH - 1)[:-1]])
-            inside = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-            order, same = sorted_suffixes(raw, np.repeat(at, windows) + inside)
-            # Only suffixes that equal a neighbour can go; those stand for places of the corpus.
-            twin = same | np.append(same[1:], False)
-            group, order = np.cumsum(~same)[twin], order[twin]
-            doc, start = np.repeat(doc, windows)[order], (np.repeat(start, windows) + inside)[order]
-            order = np.lexsort((start, doc, group))
-            later = same_as_before(group[order])
-            doc, start = doc[order][later], start[order][later]
+            gone = [repeated_suffixes(*part) for part in slices(*found, np.frombuffer(b"".join(blobs), np.uint8))]
+            doc, start = (np.concatenate([g[k] for g in gone]) for k in (0, 1))
             yield from _some(range_rows(doc, start, start + LENGTH))
         found, _, _ = _gathered(held, HASHES, [np.uint64, np.uint64])
         if found is not None:

@@ -349,8 +349,9 @@ def brute_suffixes(rows, n=100):
     return sorted(out)
 
 
-@pytest.mark.parametrize("hot, piece", [(suffix_dedup.HOT, suffix_dedup.PIECE), (2, 512)])
-def test_suffix_dedup(spark, odd, hot, piece, monkeypatch):
+@pytest.mark.parametrize("hot, piece, part", [(suffix_dedup.HOT, suffix_dedup.PIECE, suffix_dedup.SLICE_BYTES), (2, 512, 1), (50, 512, 3000)])
+def test_suffix_dedup(spark, odd, hot, piece, part, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SLICE_BYTES", part)
     monkeypatch.setattr(suffix_dedup, "PIECE", piece)
     rows = [r for r in odd if r[0] != 70 or r[1].startswith("repeated")]  # rows of one id differ in order by file place
     rng = random.Random(5)
