@@ -8,7 +8,9 @@ letters without any break) is merged with a heap, in n log n steps, by the same
 lowest rank first, the leftmost of equal ones.
 
 Defined cases: a null or empty text has no ids and decodes to no bytes; null ids decode to null; every byte
-is in the rank file, so each text can be encoded, and decoding gives back its exact UTF-8 bytes.
+is in the rank file, so each text can be encoded, and decoding gives back its exact UTF-8 bytes; a very long text
+is encoded piece by piece; a null doc_id stays null; repeated rows are encoded each; an empty table gives an empty
+result; extra columns are kept by encode and decode, and a column that has the name of the result is replaced.
 """
 
 from __future__ import annotations

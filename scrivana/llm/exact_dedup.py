@@ -8,8 +8,8 @@ with hits are then checked on the full bytes: equal texts collapse map-side, and
 different texts met is resolved by the texts themselves.
 
 Defined cases: a null text is empty, and empty texts are equal; a null doc_id is smaller than any other;
-of repeated rows with the same largest doc_id the one with the largest locator stays; an empty table gives
-an empty result; other columns are carried along whole, whatever their names.
+of repeated rows with the same largest doc_id the one with the largest locator stays; a very long text is digested
+whole and travels whole where its digest has hits; an empty table gives an empty result; other columns are carried along whole, whatever their names.
 """
 
 from __future__ import annotations

@@ -3,7 +3,7 @@
 Every word has a sparse ternary index vector from its hash. A word's context vector is the sum of the index
 vectors of its neighbours within REACH places, over all documents: words are hashed to WORDS rows and their shapes
 (case, digits, last characters) to SHAPES more, each task sums its own part of the table, and the parts are added by
-groups of rows. Sums are whole numbers, so the order of adding makes no difference. Words whose row is met fewer
+groups of rows, those of TASKS tasks first, so that no task adds the parts of all. Sums are whole numbers, so the order of adding makes no difference. Words whose row is met fewer
 than LEAST times share the vector of their shape. A document is the mean of its words' vectors and the
 mean of its shapes' vectors, with a few figures on repetition and length; a network with one hidden layer,
 trained on the driver by gradient steps on a bounded sample of labelled rows (SAMPLE_ROWS), scores it. Its
@@ -26,6 +26,7 @@ from operator import eq
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,8 +38,8 @@ SAMPLE_ROWS = 6_000
 #: Rows of the table of vectors: for words, and for shapes.
 WORDS, SHAPES = 1 << 15, 1 << 12
 SIZE, NONZERO, REACH, LEAST = 48, 6, 2, 5
-#: Words that a task sums at a time; groups of rows that are added up apart.
-FLUSH, GROUPS = 500_000, 32
+#: Words that a task sums at a time; groups of rows that are added up apart; tasks whose sums are added up first.
+FLUSH, GROUPS, TASKS = 500_000, 32, 256
 HIDDEN, EPOCHS, RATE, DECAY = 24, 60, 3e-3, 1e-4
 THRESHOLD, FOLDS, HELD_OUT = 0.5, 3, 1
 _FIGURES = 6
@@ -138,29 +139,35 @@ def corpus_contexts(docs: DataFrame) -> np.ndarray:
     n, size = WORDS + SHAPES, 1 + SIZE
     edges = np.linspace(0, n, GROUPS + 1).astype(int)
 
+    def packed_sums(g: int, part: int, of: np.ndarray):
+        rows = np.flatnonzero(of[:, 0])
+        # Bytes of equal weight together, which the shuffle's compression makes small.
+        values = np.ascontiguousarray(of[rows].view(np.uint8).reshape(-1, 8).T).tobytes()
+        return pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([part], pa.int32()), pa.array([rows.astype(np.int32).tobytes()]), pa.array([values])], names=["g", "part", "rows", "sums"])
+
     def summed(batches):
         out = _sums(t for b in batches for t in b.column("text").to_pylist())
-        if out is None:
-            return
-        for g in range(GROUPS):
-            rows = edges[g] + np.flatnonzero(out[edges[g] : edges[g + 1], 0])
-            # Bytes of equal weight together, which the shuffle's compression makes small.
-            values = np.ascontiguousarray(out[rows].view(np.uint8).reshape(-1, 8).T).tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([rows.astype(np.int32).tobytes()]), pa.array([values])], names=["g", "rows", "sums"])
+        if out is not None:
+            task = TaskContext.get().partitionId()
+            for g in range(GROUPS):
+                yield packed_sums(g, task // TASKS, out[edges[g] : edges[g + 1]])
 
     def added(batches):
-        held: dict[int, np.ndarray] = {}
+        held: dict[tuple[int, int], np.ndarray] = {}
         for b in batches:
-            for g, rows, sums in zip(*(b.column(c).to_pylist() for c in ("g", "rows", "sums")), strict=True):
-                of = held.setdefault(g, np.zeros((edges[g + 1] - edges[g], size), np.int64))
-                of[np.frombuffer(rows, np.int32) - edges[g]] += np.ascontiguousarray(np.frombuffer(sums, np.uint8).reshape(8, -1).T).view(np.int64).reshape(-1, size)
-        for g, of in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([of.tobytes()])], names=["g", "sums"])
-
-    parts = docs.mapInArrow(summed, "g int, rows binary, sums binary").repartition(GROUPS, "g").mapInArrow(added, "g int, sums binary")
+            for g, part, rows, sums in zip(*(b.column(c).to_pylist() for c in ("g", "part", "rows", "sums")), strict=True):
+                of = held.setdefault((g, part), np.zeros((edges[g + 1] - edges[g], size), np.int64))
+                of[np.frombuffer(rows, np.int32)] += np.ascontiguousarray(np.frombuffer(sums, np.uint8).reshape(8, -1).T).view(np.int64).reshape(-1, size)
+        for (g, part), of in held.items():
+            yield packed_sums(g, part // TASKS, of)
+
+    schema = "g int, part int, rows binary, sums binary"
+    parts = docs.mapInArrow(summed, schema).repartition("g", "part").mapInArrow(added, schema)
+    parts = parts.repartition(GROUPS, "g", "part").mapInArrow(added, schema)
     out = np.zeros((n, size), np.int64)
     for r in parts.collect():
-        out[edges[r.g] : edges[r.g + 1]] = np.frombuffer(r.sums, np.int64).reshape(-1, size)
+        of = np.ascontiguousarray(np.frombuffer(r.sums, np.uint8).reshape(8, -1).T).view(np.int64).reshape(-1, size)
+        out[edges[r.g] + np.frombuffer(r.rows, np.int32)] += of
     return out
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from scrivana.llm import bpe, exact_dedup, fingerprints, mixing, near_dedup, quality, secrets, spans, suffix_dedup, toxicity
 from scrivana.llm.common import documents
+from scrivana.llm.oracles import SQL
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,4 +56,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": exact_dedup.OP3_SQL}
+    return dict(SQL)

@@ -12,8 +12,9 @@ Positions come from two arrays per kind, the matches and the texts between them:
 earlier ones and the texts before it end. The sums run in blocks, so that a very long text with very many
 matches takes time in proportion to their number.
 
-Defined cases: a null text is empty and has no spans; a null source is an owner of its own; repeated rows are
-repositories of their own; an empty table gives an empty result.
+Defined cases: a null text is empty and has no spans; a null doc_id stays null; a null source is an owner of its own;
+repeated rows are repositories of their own; a very long text is one row, scanned whole; an empty table gives an empty
+result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

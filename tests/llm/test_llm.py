@@ -390,6 +390,67 @@ def test_spans(spark, odd):
     assert gone >= set(range(41, 49)) | set(range(11, 16)) and not gone & {4, 40, 60}
 
 
+def brute_pieces(text):
+    """(start, end, sentence) by reading characters: sentences end after .!? and white space or at line breaks, pieces after ,;: too."""
+    out, start, sentence, k, n = [], 0, 0, 0, len(text)
+    while k < n:
+        if text[k].isspace():
+            end = k
+            while end < n and text[end].isspace():
+                end += 1
+            line = "\n" in text[k:end]
+            before = text[k - 1] if k else ""
+            # White space without a line break ends a sentence after a mark, and a piece after a smaller one.
+            if line or (before and before in ".!?") or (before and before in ",;:"):
+                out.append((start, end, sentence))
+                sentence += line or before in ".!?"
+                start = end
+            k = end
+        else:
+            k += 1
+    if start < n:
+        out.append((start, n, sentence))
+    return out
+
+
+def brute_spans(rows):
+    seen, cut = collections.defaultdict(list), {}
+    squeeze = lambda t: re.sub(r"[ \t\n\x0b\x0c\r]+", " ", lower(t)).strip(" ")
+    for row, (i, t, _) in enumerate(rows):
+        cut[row] = pieces = brute_pieces(t or "")
+        n = [len(squeeze(t[a:b]).split(" ")) if squeeze(t[a:b]) else 0 for a, b, _ in pieces]
+        k = range(len(pieces))
+        runs = set()
+        fine = lambda a, b: sum(n[a : b + 1]) >= 40 or (b > a and sum(n[a : b + 1]) >= 20)  # noqa: B023, E731
+        for a in k:
+            ends = [b for b in k if b >= a and fine(a, b)]
+            runs |= {(a, min(ends))} if ends else set()
+            starts = [x for x in k if x <= a and fine(x, a)]
+            runs |= {(max(starts), a)} if starts else set()
+        full = [s for s in dict.fromkeys(s for _, _, s in pieces) if any(n[x] for x in k if pieces[x][2] == s)]
+        for one, two in zip(full, full[1:], strict=False):
+            inside = [x for x in k if pieces[x][2] in (one, two) and n[x]]
+            runs.add((inside[0], inside[-1]))
+        for a, b in runs:
+            seen[" ".join(filter(None, (squeeze(t[x:y]) for x, y, _ in pieces[a : b + 1])))].append((order(i), row, a, b))
+    gone = collections.defaultdict(set)
+    for places in seen.values():
+        for _, row, a, b in sorted(places)[1:]:
+            gone[row] |= set(range(a, b + 1))
+    return sorted((order(i), "".join((t or "")[a:b] for x, (a, b, _) in enumerate(cut[row]) if x not in gone[row])) for row, (i, t, _) in enumerate(rows))
+
+
+def test_spans_equal_brute_force(spark, odd):
+    rng = random.Random(31)
+    rows = [r for r in odd if r[0] not in (60, 61, 62, 70)]  # short texts, so that runs can be tried one by one
+    bank = [words(rng, rng.randint(1, 14)) + rng.choice([".", "!", "?", "...", ""]) for _ in range(25)]
+    for k in range(60):
+        parts = [rng.choice(bank) + rng.choice([" ", "\n", "  ", ", ", "; "]) for _ in range(rng.randint(1, 12))]
+        rows.append((500 + k, "".join(parts), "s"))
+    got = spans.op10(spark, table(spark, rows)).collect()
+    assert sorted((order(r.doc_id), r.text) for r in got) == brute_spans(rows)
+
+
 @pytest.mark.parametrize("counts", [[], [5], [45], [10, 9, 1, 25, 3], [1] * 50, [0, 21, 0], [39, 1, 39]])
 def test_runs(counts):
     fine = lambda a, b: (n := sum(counts[a : b + 1])) >= spans.ALONE_WORDS or (b > a and n >= spans.LEAST_WORDS)
@@ -509,6 +570,56 @@ def test_fold_is_crc32(spark):
     assert got == [zlib.crc32(str(i).encode()) % 5 for i in ids]
 
 
+def test_contexts_are_summed_over_all_documents(spark, odd, monkeypatch):
+    monkeypatch.setattr(quality, "TASKS", 2)
+    monkeypatch.setattr(quality, "FLUSH", 100)
+    texts = [t for _, t, _ in odd]
+    want = quality._sums(texts)
+    got = quality.corpus_contexts(table(spark, odd).select("text").repartition(7))
+    assert (got[:, 0] == want[:, 0]).all() and got[:, 0].sum() == 2 * sum(len((t or "").split()) for t in texts)
+    # Neighbours by hand: a word's row holds the index vectors of the words within two places.
+    rows, places = quality.Rows(), quality.index_places()
+    own = [x >> 32 for x in rows.of("a b c d".split()).tolist()]
+    sums = quality._sums(["a b c d"])[own[0], 1:]
+    vector = np.zeros(quality.SIZE, int)
+    for k in (1, 2):
+        vector[places[own[k], ::2]] += 1
+        vector[places[own[k], 1::2]] -= 1
+    assert (sums == vector).all()
+
+
+def test_good_documents_stay(spark, tmp_path):
+    rng = random.Random(2)
+    rows = [(k, words(rng, 40) if k % 2 else " ".join(["junk!!"] * 30 + words(rng, 5).split()), f"s{k % 3}") for k in range(200)]
+    spark.createDataFrame([(k, k % 2, 0) for k in range(150)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = table(spark, rows)
+    kept = quality.keep_good(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(range(1, 200, 2))
+    for op in (toxicity.op1, quality.op6):
+        assert op(spark, docs.limit(0), str(tmp_path)).collect() == []
+        assert op(spark, docs, str(tmp_path)).count() == 200
+
+
+def test_samples_are_the_same_in_every_run(spark, odd):
+    docs = table(spark, odd * 3)
+    marks = spark.createDataFrame([(i, k % 2) for k, (i, _, _) in enumerate(odd * 2)], "doc_id long, toxic int")
+    found = [tr.labelled_sample(docs.repartition(n), marks.repartition(n), "toxic", F.lit(True), 20, True) for n in (1, 5)]
+    assert found[0].texts == found[1].texts and found[0].marks.tolist() == found[1].marks.tolist() and len(found[0].texts) <= 40
+
+
+# The queries against their SQL
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_equals_sql(spark, small, name):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{small}/documents.parquet'")
+    ours, theirs = queries.queries()[name](spark, small).toPandas(), con.sql(queries.oracle_sql()[name]).df()
+    assert sorted(ours.columns) == sorted(theirs.columns)
+    plain = lambda df: sorted(map(str, df[sorted(df.columns)].itertuples(index=False)))
+    assert plain(ours) == plain(theirs)
+
+
 # Empty tables, and the pipeline
 
 
