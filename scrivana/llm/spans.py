@@ -9,9 +9,9 @@ joined over the whole corpus; the first is the one with the smallest doc_id, the
 other run covers are removed, with the white space after them; spans are judged on the input, not on what is left.
 
 Runs of one hash (128 bits) within a block of rows are combined before the shuffle: all but the block's first are
-known not to be the corpus's first, so a run that a third of all documents share reaches its group once a block,
-as a row of 60 bytes. There the rows are told apart by a running number in sorted order, which holds no group in
-memory, whatever its size.
+known not to be the corpus's first, so a run that a third of all documents share is met once a block, as an entry
+of 30 bytes. Runs are dealt by hash and travel as packed arrays, thousands to a row; a part holds those of about
+BYTES_A_PART of text.
 
 Defined cases: a null text is empty and stays so; a null doc_id is smaller than any other; repeated rows
 count as copies of each other, by file place; texts of one sentence with fewer words than a run are never changed;
@@ -28,10 +28,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivana.llm.common import LOC, packed, staged
+from scrivana.llm.packing import BYTES_A_PART, PACKED, RANGES, RUNS, batches_of, by_bucket, gathered, placed_texts, range_rows, same_as_before
 
 #: A run of pieces has two pieces and so many words, or so many words in one piece.
 LEAST_WORDS, ALONE_WORDS = 20, 40
@@ -39,7 +39,6 @@ LEAST_WORDS, ALONE_WORDS = 20, 40
 BLOCK_RUNS = 400_000
 _BREAK = re.compile(r"(?<=[.!?])[^\S\n]+|\s*\n\s*")
 _CLAUSE = re.compile(r"(?<=[,;:])\s+")
-_NONE = np.iinfo(np.int64).min
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
@@ -115,57 +114,66 @@ def text_runs(text: str) -> Iterator[tuple[bytes, int, int]]:
         yield xxhash.xxh3_128_digest(b" ".join(p for p in parts[first : last + 1] if p)), first, last
 
 
-#: Columns of the runs: both halves of the hash, the row's id and place, the run's pieces.
-_RUN_COLUMNS = ("high", "low", "doc_id", "file", "at", "first", "last")
+def _flushed(held: list[np.ndarray], buckets: int):
+    """Runs of a block, the first of each hash packed by hash, and the pieces of the others by document."""
+    runs = np.concatenate(held)
+    high, low, doc, first, last = runs.T
+    order = np.lexsort((first, doc, low, high))
+    later = np.zeros(len(runs), bool)
+    later[order] = same_as_before(high[order], low[order])
+    yield from batches_of(range_rows(doc[later], first[later], last[later] + 1))
+    of = [c[~later] for c in (doc, first, high, low, last)]
+    yield from batches_of(by_bucket([of[0], of[1], of[2], of[3], of[4].astype(np.int32)], of[2].view(np.uint64), buckets, RUNS))
 
 
-def _emit(rows: list[np.ndarray]) -> pa.RecordBatch:
-    """Runs of a block with `later`: not the first of its hash there."""
-    runs = np.concatenate(rows)
-    high, low, doc, file, at, first, last = runs.T
-    order = np.lexsort((first, at, file, doc, low, high))
-    runs = runs[order]
-    later = np.concatenate([[False], (runs[1:, :2] == runs[:-1, :2]).all(1)])
-    columns = [pa.array(runs[:, k], mask=(runs[:, k] == _NONE) if name == "doc_id" else None) for k, name in enumerate(_RUN_COLUMNS[:5])]
-    columns += [pa.array(runs[:, k].astype(np.int32)) for k in (5, 6)]
-    return pa.RecordBatch.from_arrays([*columns, pa.array(later)], names=[*_RUN_COLUMNS, "later"])
-
-
-def hashed_runs(rows: DataFrame) -> DataFrame:
-    """Runs of (loc, doc_id, text) rows."""
+def hashed_runs(texts: DataFrame, buckets: int) -> DataFrame:
+    """Runs of (doc, text) rows, and ranges of pieces that are known to go."""
 
     def work(batches):
         held, size = [], 0
         for b in batches:
-            files, places = (b.column("loc").field(k).to_pylist() for k in (0, 1))
-            ids = b.column("doc_id").to_pylist()
+            docs, column = b.column("doc").to_pylist(), b.column("text")
             for k in range(b.num_rows):
-                text = b.column("text")[k].as_py()
+                text = column[k].as_py()
                 found = list(text_runs(text)) if text else []
                 if not found:
                     continue
-                a = np.empty((len(found), 7), dtype=np.int64)
+                a = np.empty((len(found), 5), dtype=np.int64)
                 a[:, :2] = np.frombuffer(b"".join(f[0] for f in found), np.int64).reshape(-1, 2)
-                a[:, 2:5] = (_NONE if ids[k] is None else ids[k], files[k], places[k])
-                a[:, 5:] = [f[1:] for f in found]
+                a[:, 2] = docs[k]
+                a[:, 3:] = [f[1:] for f in found]
                 held.append(a)
                 size += len(a)
                 if size >= BLOCK_RUNS:
-                    yield _emit(held)
+                    yield from _flushed(held, buckets)
                     held, size = [], 0
         if held:
-            yield _emit(held)
+            yield from _flushed(held, buckets)
+
+    return texts.mapInArrow(work, PACKED)
 
-    return rows.mapInArrow(work, "high bigint, low bigint, doc_id bigint, file bigint, at bigint, first int, last int, later boolean")
 
+def repeated(texts: DataFrame, parts: int) -> DataFrame:
+    """(doc, covered) of the documents of which pieces go; covered: array of (first, last)."""
+
+    def rows(doc, first, last):
+        for at in range(0, len(doc), 50_000):
+            part = slice(at, at + 50_000)
+            yield pa.RecordBatch.from_arrays([pa.array(doc[part]), pa.array(first[part].astype(np.int32)), pa.array(last[part].astype(np.int32))], names=["doc", "first", "last"])
+
+    def work(batches):
+        found, others, _ = gathered(batches, RUNS, [np.int64, np.int64, np.int32])
+        for _, doc, _, starts, ends, *_ in others:
+            first, end = np.frombuffer(starts, np.int32), np.frombuffer(ends, np.int32)
+            yield from rows(np.full(len(first), doc), first, end - 1)
+        if found is not None:
+            doc, first, high, low, last = found
+            order = np.lexsort((first, doc, low, high))
+            order = order[same_as_before(high[order], low[order])]
+            yield from rows(doc[order], first[order], last[order])
 
-def repeated(spark: SparkSession, rows: DataFrame) -> DataFrame:
-    """(loc, covered) of the rows of which sentences go; covered: array of (first, last)."""
-    found = staged(spark, hashed_runs(rows), "sentence-runs")
-    order = Window.partitionBy("high", "low").orderBy("doc_id", "file", "at", "first")
-    others = found.where("NOT later").withColumn("nth", F.row_number().over(order)).where("nth > 1").select("file", "at", "first", "last")
-    gone = others.unionByName(found.where("later").select("file", "at", "first", "last"))
-    return gone.groupBy(F.struct("file", "at").alias("loc")).agg(F.collect_list(F.struct("first", "last")).alias("covered"))
+    gone = hashed_runs(texts, 4 * parts).repartition(parts, "bucket").mapInArrow(work, "doc bigint, first int, last int")
+    return gone.groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("covered"))
 
 
 def kept(text: str, covered: list[tuple[int, int]]) -> tuple[str, int, int, int]:
@@ -182,9 +190,10 @@ def kept(text: str, covered: list[tuple[int, int]]) -> tuple[str, int, int, int]
 
 
 def remove_repeated(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """(loc, doc_id, text, n_sentences, n_removed, n_spans) of every row; text: what is left."""
-    rows = packed(spark, docs).select("loc", F.col("row.doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("row.text"), F.lit("")).alias("text"))
-    joined = rows.join(repeated(spark, rows), "loc", "left")
+    """(doc_id, text, n_sentences, n_removed, n_spans) of every row; text: what is left."""
+    texts, size = placed_texts(spark, docs)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BYTES_A_PART))
+    joined = texts.join(repeated(texts.select("doc", "text"), parts), "doc", "left")
 
     def work(batches):
         for b in batches:
@@ -192,9 +201,9 @@ def remove_repeated(spark: SparkSession, docs: DataFrame) -> DataFrame:
                 part = b.slice(at, 256)
                 out = [kept(t, [(c["first"], c["last"]) for c in cov or ()]) for t, cov in zip(part.column("text").to_pylist(), part.column("covered").to_pylist(), strict=True)]
                 cols = [pa.array([o[k] for o in out], pa.string() if k == 0 else pa.int64()) for k in range(4)]
-                yield pa.RecordBatch.from_arrays([part.column("loc"), part.column("doc_id"), *cols], names=["loc", "doc_id", "text", "n_sentences", "n_removed", "n_spans"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *cols], names=["doc_id", "text", "n_sentences", "n_removed", "n_spans"])
 
-    return joined.select("loc", "doc_id", "text", "covered").mapInArrow(work, f"loc {LOC}, doc_id bigint, text string, n_sentences bigint, n_removed bigint, n_spans bigint")
+    return joined.select("doc_id", "text", "covered").mapInArrow(work, "doc_id bigint, text string, n_sentences bigint, n_removed bigint, n_spans bigint")
 
 
 def op10(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -42,14 +42,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivana.llm.common import forget, packed, staged
+from scrivana.llm.common import forget, staged
+from scrivana.llm.packing import ASKED, BYTES, BYTES_A_PART, COUNTS, HASHES, PACKED, PHRASES, RANGES, batch, batches_of, by_bucket, gathered, merged, placed_texts, range_rows, same_as_before
 
 LENGTH, GRAM = 100, 24
 WINDOW = LENGTH - GRAM + 1
 #: Distinct phrases of a trigger up to which their bytes (150 each, about) meet in one task; bytes that are sorted at a time.
 HOT, SLICE_BYTES = 20_000, 1 << 20
-#: Text that one part of the dictionary stands for, about; phrases that a task combines at a time.
-BYTES_A_PART, FLUSH = 32 << 20, 600_000
+#: Phrases that a task combines at a time.
+FLUSH = 600_000
 #: Windows of a document that are parsed at a time, so that places fit in the low bits of a trigger's key.
 PIECE, _LOW = 1 << 19, np.uint64((1 << 20) - 1)
 
@@ -93,76 +94,6 @@ def phrases(raw: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np
         yield h[trigger], content, start + at, windows
 
 
-# Packed columns: fixed widths, one after the other; documents as differences, by bytes of equal weight, so that
-# the shuffle's compression finds their zeros.
-def _planes(a: np.ndarray) -> bytes:
-    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes()
-
-
-def _unplanes(raw: bytes, kind) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
-
-
-def pack(columns: list[np.ndarray]) -> list[bytes]:
-    """doc (int64, ascending), start (int32), others as they are."""
-    doc, start, *rest = columns
-    return [_planes(np.diff(doc, prepend=np.int64(0))), _planes(start.astype(np.int32)), *[np.ascontiguousarray(c).tobytes() for c in rest]]
-
-
-_FIELDS = [("doc", None), ("start", None), ("trigger", np.uint64), ("content", np.uint64), ("windows", np.uint8)]
-_PACKED = "bucket int, doc bigint, kind int, a binary, b binary, c binary, d binary, e binary"
-_NAMES = ["bucket", "doc", "kind", "a", "b", "c", "d", "e"]
-PHRASES, RANGES, ASKED, BYTES, HASHES, COUNTS = range(6)
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    """Rows of (bucket, doc, kind, *blobs)."""
-    full = [(*r, *[None] * (8 - len(r))) for r in rows]
-    kinds = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 5]
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in full], kinds[k]) for k in range(8)], names=_NAMES)
-
-
-def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The union of ranges as maximal ones."""
-    order = np.argsort(start, kind="stable")
-    start, end = start[order], np.maximum.accumulate(end[order])
-    first = np.flatnonzero(np.concatenate([[True], start[1:] > end[:-1]]))
-    return start[first], end[np.append(first[1:] - 1, len(end) - 1)]
-
-
-def range_rows(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[tuple]:
-    """A row with the merged ranges of each document."""
-    out, order = [], np.argsort(doc, kind="stable")
-    doc, start, end = doc[order], start[order], end[order]
-    edges = np.append(np.flatnonzero(np.diff(doc, prepend=doc[0] - 1 if len(doc) else 0)), len(doc)) if len(doc) else []
-    for a, b in zip(edges, edges[1:], strict=False):
-        s, e = merged(start[a:b], end[a:b])
-        out.append((-1 - int(doc[a]) % 1009, int(doc[a]), RANGES, s.astype(np.int32).tobytes(), e.astype(np.int32).tobytes()))
-    return out
-
-
-def same_as_before(*keys: np.ndarray) -> np.ndarray:
-    """Whether each row equals the one before it in all keys."""
-    same = np.ones(max(0, len(keys[0]) - 1), bool)
-    for k in keys:
-        same &= k[1:] == k[:-1]
-    return np.concatenate([[False], same]) if len(keys[0]) else np.zeros(0, bool)
-
-
-def by_bucket(columns: list[np.ndarray], key: np.ndarray, buckets: int, kind: int, extra=None) -> list[tuple]:
-    """Rows of packed columns by key % buckets, in order of document and place."""
-    bucket = (key % np.uint64(buckets)).astype(np.int32)
-    order = np.lexsort((columns[1], columns[0], bucket))
-    bucket, columns = bucket[order], [c[order] for c in columns]
-    edges = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
-    rows = []
-    for a, b in zip(edges, edges[1:], strict=False):
-        blobs = pack([c[a:b] for c in columns])
-        rows.append((int(bucket[a]), 0, kind, *blobs, *([extra(order[a:b])] if extra else [])))
-    return rows
-
-
 def parse(docs: DataFrame, buckets: int) -> DataFrame:
     """Phrases of (doc, text) rows, the first of equal ones in a flush, and ranges of the others."""
 
@@ -172,14 +103,14 @@ def parse(docs: DataFrame, buckets: int) -> DataFrame:
         trigger, content, start, windows, doc = (x[order] for x in (trigger, content, start, windows, doc))
         later = same_as_before(trigger, content)
         if later.any():
-            yield from _some(range_rows(doc[later], start[later], (start + windows + LENGTH - 1)[later]))
+            yield from batches_of(range_rows(doc[later], start[later], (start + windows + LENGTH - 1)[later]))
         first = ~later
         # Triggers that are met again in this flush; what one has more than that elsewhere is one row a flush at most.
         starts = np.flatnonzero(~same_as_before(trigger[first]))
         times = np.diff(np.append(starts, first.sum()))
         again = times > 1
-        yield _batch([(0, 0, COUNTS, trigger[first][starts][again].tobytes(), times[again].astype(np.int64).tobytes())])
-        yield from _some(by_bucket([doc[first], start[first], trigger[first], content[first], windows[first].astype(np.uint8)], trigger[first], buckets, PHRASES))
+        yield batch([(0, 0, COUNTS, trigger[first][starts][again].tobytes(), times[again].astype(np.int64).tobytes())])
+        yield from batches_of(by_bucket([doc[first], start[first], trigger[first], content[first], windows[first].astype(np.uint8)], trigger[first], buckets, PHRASES))
 
     def work(batches):
         held, size = [], 0
@@ -195,28 +126,7 @@ def parse(docs: DataFrame, buckets: int) -> DataFrame:
         if held:
             yield from flush(held)
 
-    return docs.mapInArrow(work, _PACKED)
-
-
-def _some(rows: list[tuple], size: int = 4000) -> Iterator[pa.RecordBatch]:
-    for at in range(0, len(rows), size):
-        yield _batch(rows[at : at + size])
-
-
-def _gathered(batches, kind: int, kinds: list) -> tuple[list[np.ndarray] | None, list[tuple], list[list[bytes]]]:
-    """Columns of the packed rows of a kind; other rows; the packed rows' last blobs."""
-    parts, others, lasts = [], [], []
-    for b in batches:
-        rows = b.to_pydict()
-        for k in range(b.num_rows):
-            row = [rows[n][k] for n in _NAMES]
-            if row[2] != kind:
-                others.append(tuple(row))
-                continue
-            doc = np.cumsum(_unplanes(row[3], np.int64))
-            parts.append((doc, _unplanes(row[4], np.int32).astype(np.int64), *[np.frombuffer(row[5 + j], t) for j, t in enumerate(kinds)]))
-            lasts.append(row[7])
-    return ([np.concatenate(c) for c in zip(*parts, strict=True)] if parts else None), others, lasts
+    return docs.mapInArrow(work, PACKED)
 
 
 def hot_triggers(spark: SparkSession, parsed: DataFrame, hot: int) -> np.ndarray:
@@ -243,13 +153,13 @@ def dealt(parsed: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
 
     def work(batches):
         for b in batches:
-            found, _, _ = _gathered([b], PHRASES, [np.uint64, np.uint64, np.uint8])
+            found, _, _ = gathered([b], PHRASES, [np.uint64, np.uint64, np.uint8])
             if found is not None:
                 doc, start, trigger, content, windows = found
                 key = np.where(np.isin(trigger, sent.value), content, trigger)
-                yield from _some(by_bucket([doc, start, trigger, content, windows], key, buckets, PHRASES))
+                yield from batches_of(by_bucket([doc, start, trigger, content, windows], key, buckets, PHRASES))
 
-    return rows.where(~mixed).unionByName(rows.where(mixed).mapInArrow(work, _PACKED))
+    return rows.where(~mixed).unionByName(rows.where(mixed).mapInArrow(work, PACKED))
 
 
 def dictionary(parsed: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
@@ -257,15 +167,15 @@ def dictionary(parsed: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
     sent = parsed.sparkSession.sparkContext.broadcast(hot)
 
     def work(batches):
-        found, others, _ = _gathered(batches, PHRASES, [np.uint64, np.uint64, np.uint8])
-        yield from _some(others)
+        found, others, _ = gathered(batches, PHRASES, [np.uint64, np.uint64, np.uint8])
+        yield from batches_of(others)
         if found is None:
             return
         doc, start, trigger, content, windows = found
         order = np.lexsort((start, doc, content, trigger))
         doc, start, trigger, content, windows = (x[order] for x in (doc, start, trigger, content, windows.astype(np.int64)))
         later = same_as_before(trigger, content)
-        yield from _some(range_rows(doc[later], start[later], (start + windows + LENGTH - 1)[later]))
+        yield from batches_of(range_rows(doc[later], start[later], (start + windows + LENGTH - 1)[later]))
         doc, start, trigger, windows = (x[~later] for x in (doc, start, trigger, windows))
         edges = np.append(np.flatnonzero(~same_as_before(trigger)), len(trigger))
         several, much = np.repeat(np.diff(edges), np.diff(edges)), np.isin(trigger, sent.value)
@@ -275,9 +185,9 @@ def dictionary(parsed: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
         doc, start, trigger, windows, much = (x[order] for x in (doc, start, trigger, windows, much))
         edges = np.append(np.flatnonzero(~same_as_before(doc)), len(doc))
         rows = [(0, int(doc[a]), ASKED, start[a:b].astype(np.int32).tobytes(), windows[a:b].astype(np.uint8).tobytes(), trigger[a:b].tobytes(), much[a:b].tobytes()) for a, b in zip(edges, edges[1:], strict=False)]
-        yield from _some(rows)
+        yield from batches_of(rows)
 
-    return parsed.repartition(parts, "bucket").mapInArrow(work, _PACKED)
+    return parsed.repartition(parts, "bucket").mapInArrow(work, PACKED)
 
 
 def answers(asked: DataFrame, buckets: int) -> DataFrame:
@@ -287,14 +197,14 @@ def answers(asked: DataFrame, buckets: int) -> DataFrame:
         if cold:
             doc, start, trigger, windows = (np.concatenate([c[k] for c in cold]) for k in range(4))
             raw = [x for c in cold for x in c[4]]
-            yield from _some(by_bucket([doc, start, trigger, windows.astype(np.uint8)], trigger, buckets, BYTES, lambda rows: b"".join([raw[r] for r in rows])), 400)
+            yield from batches_of(by_bucket([doc, start, trigger, windows.astype(np.uint8)], trigger, buckets, BYTES, lambda rows: b"".join([raw[r] for r in rows])), 400)
         if hot:
             doc, start, first, second = (np.concatenate([h[k] for h in hot]) for k in range(4))
             order = np.lexsort((start, doc, second, first))
             doc, start, first, second = (x[order] for x in (doc, start, first, second))
             later = same_as_before(first, second)
-            yield from _some(range_rows(doc[later], start[later], start[later] + LENGTH))
-            yield from _some(by_bucket([doc[~later], start[~later], first[~later], second[~later]], first[~later], buckets, HASHES))
+            yield from batches_of(range_rows(doc[later], start[later], start[later] + LENGTH))
+            yield from batches_of(by_bucket([doc[~later], start[~later], first[~later], second[~later]], first[~later], buckets, HASHES))
 
     def work(batches):
         cold, hot, size = [], [], 0
@@ -320,7 +230,7 @@ def answers(asked: DataFrame, buckets: int) -> DataFrame:
                     cold, hot, size = [], [], 0
         yield from flush(cold, hot)
 
-    return asked.mapInArrow(work, _PACKED)
+    return asked.mapInArrow(work, PACKED)
 
 
 def _ranks(keys: np.ndarray) -> np.ndarray:
@@ -398,34 +308,22 @@ def suffixes(given: DataFrame, parts: int) -> DataFrame:
 
     def work(batches):
         batches = list(batches)
-        found, others, blobs = _gathered(batches, BYTES, [np.uint64, np.uint8])
-        held = pa.Table.from_batches([_batch([r for r in others if r[2] == HASHES])]).to_batches()
-        yield from _some([r for r in others if r[2] == RANGES])
+        found, others, blobs = gathered(batches, BYTES, [np.uint64, np.uint8])
+        held = pa.Table.from_batches([batch([r for r in others if r[2] == HASHES])]).to_batches()
+        yield from batches_of([r for r in others if r[2] == RANGES])
         if found is not None:
             gone = [repeated_suffixes(*part) for part in slices(*found, np.frombuffer(b"".join(blobs), np.uint8))]
             doc, start = (np.concatenate([g[k] for g in gone]) for k in (0, 1))
-            yield from _some(range_rows(doc, start, start + LENGTH))
-        found, _, _ = _gathered(held, HASHES, [np.uint64, np.uint64])
+            yield from batches_of(range_rows(doc, start, start + LENGTH))
+        found, _, _ = gathered(held, HASHES, [np.uint64, np.uint64])
         if found is not None:
             doc, start, first, second = found
             order = np.lexsort((start, doc, second, first))
             later = same_as_before(first[order], second[order])
             doc, start = doc[order][later], start[order][later]
-            yield from _some(range_rows(doc, start, start + LENGTH))
-
-    return given.repartition(parts, "bucket").mapInArrow(work, _PACKED)
-
+            yield from batches_of(range_rows(doc, start, start + LENGTH))
 
-def placed_texts(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, int]:
-    """((doc, doc_id, text), bytes): doc is a 64-bit number in the order of the documents."""
-    rows = packed(spark, docs).select("loc", F.col("row.doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("row.text"), F.lit("")).alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    odd = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR doc_id IS NULL")
-    if odd.isEmpty():
-        return rows.select(F.col("doc_id").alias("doc"), "doc_id", "text").where("doc IS NOT NULL"), size
-    # Repeated or missing ids: number the rows in order. Partitions of a global sort follow each other.
-    order = rows.select("loc", "doc_id").orderBy(F.col("doc_id").asc_nulls_first(), "loc").select("loc", F.monotonically_increasing_id().alias("doc"))
-    return rows.join(staged(spark, order, "order"), "loc").select("doc", "doc_id", "text").where("doc IS NOT NULL"), size
+    return given.repartition(parts, "bucket").mapInArrow(work, PACKED)
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, hot: int = HOT) -> DataFrame:
