@@ -32,8 +32,8 @@ def attach_notes(entries: DataFrame, *partition: str, pos: str = "pos", kind: st
 
 def clippings(files: DataFrame, title: str = "", author: str = "") -> DataFrame:
     """Highlights and notes of one book out of clippings files (path, text)."""
-    entry = files.select("path", F.posexplode(F.split(F.regexp_replace("text", "^﻿", ""), CLIPPING_RULE)).alias("pos", "entry"))
-    lines = F.transform(F.split(replaced(F.col("entry"), (r"\A\n+|\n+\z", "")), r"\r?\n"), lambda x: replaced(x, (r"(?U)\s+\z", "")))
+    entry = files.select("path", F.posexplode(F.split(replaced(F.col("text"), ("^﻿", ""), (r"\r\n?", "\n")), CLIPPING_RULE)).alias("pos", "entry"))
+    lines = F.transform(F.split(replaced(F.col("entry"), (r"\A\n+|\n+\z", "")), "\n"), lambda x: replaced(x, (r"(?U)\s+\z", "")))
     rows = entry.withColumn("lines", lines).where(F.size("lines") >= 3)
     meta = F.lower(trimmed(F.get("lines", F.lit(1))))
     body = trimmed(F.array_join(F.slice("lines", F.lit(3), F.size("lines")), "\n"))

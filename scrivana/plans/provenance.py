@@ -97,11 +97,11 @@ EVENT_TIMESTAMPS = "SELECT event_id, event_type = 'click' AS strict FROM events"
 def _index(spark: SparkSession, d: str) -> DataFrame:
     kinds = F.create_map(*[F.lit(x) for pair in zip(("es", "en", "fr", "de"), sources.FAMILIES, strict=True) for x in pair])
     docs = table(spark, d, "documents")
-    return docs.select(F.col("doc_id").cast("string").alias("id"), kinds[F.col("lang")].alias("kind"), F.concat(F.lit("https://notes.example/"), "source").alias("uri"), F.substring("text", 1, 40).alias("title"), F.array("source", "lang").alias("tags"), F.lit(False).alias("is_root"))
+    return docs.select(F.col("doc_id").cast("string").alias("id"), kinds[F.col("lang")].alias("kind"), F.concat(F.lit("https://notes.example/"), "source").alias("uri"), F.col("text").alias("title"), F.array("source", "lang").alias("tags"), F.lit(False).alias("is_root"))
 
 
 _SQL_INDEX = """(SELECT doc_id::VARCHAR AS id, CASE lang WHEN 'es' THEN 'figma' WHEN 'en' THEN 'ui-library' WHEN 'fr' THEN 'crm-code' ELSE 'confluence' END AS kind,
-  'https://notes.example/' || source AS uri, substr(text, 1, 40) AS title, source, lang FROM documents)"""
+  'https://notes.example/' || source AS uri, text AS title, source, lang FROM documents)"""
 _SQL_MATCH = "(contains(lower(concat_ws(' ', id, uri, title, source, lang)), 'src3') OR contains(uri, '/src15'))"
 
 
@@ -114,7 +114,7 @@ RELEVANT_SOURCES = f"SELECT id, kind, uri FROM {_SQL_INDEX} WHERE {_SQL_MATCH}"
 
 
 def source_gaps(spark: SparkSession, d: str) -> DataFrame:
-    """Kinds without any source about a word that few texts begin with."""
+    """Kinds without any source about some words that few texts have, whole texts searched."""
     _, gaps, _ = sources.relevant(_index(spark, d), ["released under"])
     return gaps
 
@@ -220,19 +220,19 @@ SINGLE_TURNS = "SELECT conv_id, count(*) FILTER (role = 'assistant') AS n FROM c
 def missing_sentences(spark: SparkSession, d: str) -> DataFrame:
     """Sentences of benchmark items that no document of a language has exactly."""
     asked = table(spark, d, "benchmark").select("item_id", F.explode(constraints.sentences(F.col("text"))).alias("sentence")).distinct()
-    langs = table(spark, d, "documents").select("lang").distinct()
-    required = langs.select("lang", F.explode(F.array(F.lit("And."), F.lit("Zu und."), F.lit("No such sentence."))).alias("sentence"))
-    found = constraints.missing_sentences(required, table(spark, d, "documents").select("lang", "text"), "lang")
-    return found.join(asked.select(F.count(F.lit(1)).over(Window.partitionBy()).alias("asked")).limit(1), F.lit(True))
+    docs = table(spark, d, "documents").select("lang", "text")
+    # The languages are one short array, which each of the benchmark's sentences is asked for.
+    langs = docs.agg(F.array_sort(F.collect_set("lang")).alias("langs"))
+    required = asked.select("item_id", "sentence", F.lit(1).alias("k")).join(F.broadcast(langs.withColumn("k", F.lit(1))), "k").select("item_id", "sentence", F.explode("langs").alias("lang"))
+    return constraints.missing_sentences(required, docs, "lang")
 
 
 _SQL_SENTENCES = rf"unnest(string_split(regexp_replace(regexp_replace({sql_trim('text')}, '\s+', ' ', 'g'), '([.!?]) ', '\1' || chr(1), 'g'), chr(1)))"
 MISSING_SENTENCES = f"""
 WITH h AS (SELECT DISTINCT lang, lower(s) AS s FROM (SELECT lang, {_SQL_SENTENCES} AS s FROM documents)),
-a AS (SELECT DISTINCT item_id, lower(s) AS s FROM (SELECT item_id, {_SQL_SENTENCES} AS s FROM benchmark))
-SELECT lang, sentence, (SELECT count(*) FROM a) AS asked
-FROM (SELECT DISTINCT lang FROM documents) l, (VALUES ('And.'), ('Zu und.'), ('No such sentence.')) v(sentence)
-WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.lang = l.lang AND h.s = lower(sentence))"""
+a AS (SELECT DISTINCT item_id, lower(s) AS s FROM (SELECT item_id, {_SQL_SENTENCES} AS s FROM benchmark) WHERE s <> '')
+SELECT item_id, lang, a.s AS sentence FROM a, (SELECT DISTINCT lang FROM documents) l
+WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.lang = l.lang AND h.s = a.s)"""
 
 QUERIES = {
     "tree_walk": (tree_walk, TREE_WALK), "tree_gaps": (tree_gaps, TREE_GAPS), "snapshot_changes": (snapshot_changes, SNAPSHOT_CHANGES),
