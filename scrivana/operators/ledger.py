@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scrivana.functions.text import lesson_key, lesson_tokens, scope_key
+from scrivana.operators.ordering import numbered
 
 
 def _keyed(df: DataFrame, side: str) -> DataFrame:
@@ -51,8 +52,9 @@ def decided(proposals: DataFrame, entries: DataFrame, decisions: DataFrame, vers
     both = both.withColumn("error", error)
     outcome = F.when(F.col("error").isNotNull(), "pending").when(F.coalesce((said == "discard") | linked, F.lit(False)), "rejected").otherwise("approved")
     both = both.withColumn("outcome", outcome)
-    counted = F.sum(F.when(F.col("outcome") == "approved", 1).otherwise(0)).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    return both.withColumn("version", F.when(F.col("outcome") == "approved", F.lit(version) + counted).cast("long"))
+    approved = numbered(both.where("outcome = 'approved'"), [F.col(order)], "nth")
+    approved = approved.withColumn("version", (F.lit(version) + F.col("nth")).cast("long")).drop("nth")
+    return approved.unionByName(both.where("outcome <> 'approved'").withColumn("version", F.lit(None).cast("long")))
 
 
 def read(ledger: DataFrame) -> Column:

@@ -17,16 +17,24 @@ TASK_TYPES = (
     ("bug|fix|issue|correct|repair", "Bug fix"), ("refactor|restructure|cleanup", "Refactoring"),
     ("document|documentation|readme", "Documentation content changes"), ("add|create|feature|implement|introduce", "Feature"),
 )
-# Model and reasoning by preset and role; the recommended one starts from 'default' and depends on the tier.
+# Model and reasoning of each role by preset; the recommended one starts from 'default'.
 ROLES = ("planner", "planReviewer", "engineer", "uiReviewer", "prWriter", "orchestrator")
-ASSIGNMENTS = {
-    "default": ("sol high", "terra high", "sol high", "terra high", "luna light", "luna medium"),
-    "light": ("luna high", "luna medium", "luna medium", "luna medium", "luna light", "luna medium"),
-    "medium": ("terra high", "luna high", "terra high", "terra high", "luna light", "luna medium"),
-    "high": ("sol high", "sol high", "sol medium", "sol high", "luna light", "luna medium"),
-}
-TIER_CHANGES = {"luna": {r: "luna medium" for r in ROLES[:4]}, "terra": {r: "terra high" for r in ("planner", "engineer", "uiReviewer")}, "sol": {}}
-REASONING, WRITER = ("light", "medium", "high"), "luna light"
+ASSIGNMENTS = (
+    ("default", "planner", "sol", "high"), ("default", "planReviewer", "terra", "high"), ("default", "engineer", "sol", "high"),
+    ("default", "uiReviewer", "terra", "high"), ("default", "prWriter", "luna", "light"), ("default", "orchestrator", "luna", "medium"),
+    ("light", "planner", "luna", "high"), ("light", "planReviewer", "luna", "medium"), ("light", "engineer", "luna", "medium"),
+    ("light", "uiReviewer", "luna", "medium"), ("light", "prWriter", "luna", "light"), ("light", "orchestrator", "luna", "medium"),
+    ("medium", "planner", "terra", "high"), ("medium", "planReviewer", "luna", "medium"), ("medium", "engineer", "terra", "high"),
+    ("medium", "uiReviewer", "terra", "high"), ("medium", "prWriter", "luna", "light"), ("medium", "orchestrator", "luna", "medium"),
+    ("high", "planner", "sol", "high"), ("high", "planReviewer", "sol", "high"), ("high", "engineer", "sol", "medium"),
+    ("high", "uiReviewer", "sol", "high"), ("high", "prWriter", "luna", "light"), ("high", "orchestrator", "luna", "medium"),
+)
+# What a tier changes in the recommended assignment.
+TIER_CHANGES = (
+    ("luna", "planner", "luna", "medium"), ("luna", "planReviewer", "luna", "medium"), ("luna", "engineer", "luna", "medium"), ("luna", "uiReviewer", "luna", "medium"),
+    ("terra", "planner", "terra", "high"), ("terra", "engineer", "terra", "high"), ("terra", "uiReviewer", "terra", "high"),
+)
+TIERS, REASONING = ("luna", "terra", "sol"), ("light", "medium", "high")
 # States of a task that count as done.
 DONE = ("complete", "completed", "verified")
 
@@ -68,12 +76,13 @@ def complexity(task: Column, repositories: Column, links: Column, constraints: C
 
 def assignment_table(spark: SparkSession, prefix: str = "gpt-5.6-") -> DataFrame:
     """(preset, tier, role, model, reasoning): a small dimension; recommended and individual have a row for each tier."""
-    rows = []
-    for tier, changes in TIER_CHANGES.items():
-        for preset in ("recommended", "individual", "light", "medium", "high"):
-            base = dict(zip(ROLES, ASSIGNMENTS.get(preset, ASSIGNMENTS["default"]), strict=True)) | (changes if preset == "recommended" else {})
-            rows += [(preset, tier, role, prefix + base[role].split()[0], base[role].split()[1]) for role in ROLES]
-    return spark.createDataFrame(rows, "preset string, tier string, role string, model string, reasoning string")
+    given = spark.createDataFrame(ASSIGNMENTS, "preset string, role string, model string, reasoning string")
+    tiers = F.explode(F.array(*[F.lit(t) for t in TIERS]))
+    presets = F.when(F.col("preset") == "default", F.array(F.lit("recommended"), F.lit("individual"))).otherwise(F.array("preset"))
+    rows = given.select(F.explode(presets).alias("preset"), "role", "model", "reasoning").withColumn("tier", tiers)
+    changes = spark.createDataFrame([("recommended", *c) for c in TIER_CHANGES], "preset string, tier string, role string, new_model string, new_reasoning string")
+    rows = rows.join(F.broadcast(changes), ["preset", "tier", "role"], "left")
+    return rows.select("preset", "tier", "role", F.concat(F.lit(prefix), F.coalesce("new_model", "model")).alias("model"), F.coalesce("new_reasoning", "reasoning").alias("reasoning"))
 
 
 def assigned(requests: DataFrame, table: DataFrame) -> DataFrame:
@@ -198,3 +207,10 @@ def passed_names(checks: Column) -> Column:
     return F.array_join(F.transform(F.filter(checks, lambda c: c["status"] == "passed"), lambda c: c["name"]), ", ")
 
 
+def context_envelope(requests: DataFrame) -> DataFrame:
+    """requests with every field that a context envelope has: lists default to none, the revision to 1, the rest to null."""
+    given = lambda name, kind: F.col(name).cast(kind) if name in requests.columns else F.lit(None).cast(kind)
+    listed = [F.coalesce(given(c, "array<string>"), F.array().cast("array<string>")).alias(c) for c in ("component_scope", "repository_scope", "figma_links", "constraints")]
+    ticket = F.coalesce(given("ticket_key", "string"), given("jira_key", "string")).alias("ticket_key")
+    known = {"task", "component_scope", "repository_scope", "figma_links", "constraints", "ticket_key", "jira_key", "artifact_revision", "plan_approval", "edit_approval"}
+    return requests.select(*[c for c in requests.columns if c not in known], given("task", "string").alias("task"), *listed, ticket, F.coalesce(given("artifact_revision", "int"), F.lit(1)).alias("artifact_revision"), given("plan_approval", "string").alias("plan_approval"), given("edit_approval", "string").alias("edit_approval"))

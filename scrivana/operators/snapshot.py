@@ -51,9 +51,9 @@ def compare(previous: DataFrame, following: DataFrame, by: str = "task_id") -> D
 
 
 def snapshots(sources: DataFrame, contexts: DataFrame, created_at: Column, by: str = "task_id") -> DataFrame:
-    """A row per task: sources in collation order, source_digest (sources, scope, decisions) and id (everything)."""
+    """A row per task: sources in collation order of their ids (letters by alphabet, lower case first), source_digest (sources, scope, decisions) and id (everything)."""
     one = sources.select(by, *snapshot_source())
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct(F.expr("collation_key(id)") if False else F.lower("id").alias("k"), *[c for c in one.columns if c != by]))), lambda s: s.dropFields("k"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct(F.collate("id", "UNICODE").alias("k"), *[c for c in one.columns if c != by]))), lambda s: s.dropFields("k"))
     grouped = one.groupBy(by).agg(ordered.alias("sources"))
     both = contexts.join(grouped, by, "left").withColumn("sources", F.coalesce("sources", F.array().cast(grouped.schema["sources"].dataType)))
     parts = ["sources", "scope", "library_decisions"]

@@ -1,49 +1,45 @@
 """Discovering a tree of pages from an edge table.
 
-The depth-first order of a walk is the lexicographic order of the paths of child positions, so the tree is found
-level by level (a recursive query) and the order comes from the path. A page that several parents have is kept
-where the walk meets it first; later meetings, and ways back to an ancestor, are gaps of reason 'cycle'.
+The depth-first order of a walk is the lexicographic order of the paths of child positions, and the walk meets a page
+first on the least of its paths. Paths are found in rounds: each page keeps its least path so far, and only pages whose
+path got smaller pass it on, so a round has a row for each edge at most, however many ways lead to a page. Meetings
+of a page other than its first, and ways back to an ancestor, are gaps of reason 'cycle'.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scrivana.session import cut
+
 # Why a page is left out, and what that means.
 GAPS = {"inaccessible": "descendant body and children unavailable", "cycle": "cyclic descendant skipped"}
+#: Rounds after which a walk is given up; a page at depth n needs n rounds at least.
 MAX_DEPTH = 100
 
 
 def walk(spark: SparkSession, edges: DataFrame, root: str, max_depth: int = MAX_DEPTH) -> tuple[DataFrame, DataFrame]:
     """(pages, gaps) below root out of edges (parent_id, child_id, child_pos, inaccessible), ids as strings.
 
-    pages: id, parent_id, depth, walk (array of positions; its order is the walk's). Below a page that was met
-    before, nothing counts: its own children belong to its first meeting. Spark bounds a recursive query's rows by
-    spark.sql.cteRecursionRowLimit (a million by default); larger trees need a session with a higher one.
+    pages: id, parent_id, depth, walk (array of positions; its order is the walk's).
     """
-    view = f"edges_{abs(hash((root, max_depth, id(edges))))}"
-    edges.createOrReplaceTempView(view)
-    found = spark.sql(f"""
-        WITH RECURSIVE met(id, parent_id, depth, walk, ids, blocked) MAX RECURSION LEVEL {max_depth} AS (
-          SELECT '{root}', CAST(NULL AS STRING), 0, CAST(array() AS ARRAY<BIGINT>), array('{root}'), false
-          UNION ALL
-          SELECT e.child_id, m.id, m.depth + 1, concat(m.walk, array(CAST(e.child_pos AS BIGINT))), concat(m.ids, array(e.child_id)),
-                 coalesce(e.inaccessible, false) OR array_contains(m.ids, e.child_id)
-          FROM met m JOIN {view} e ON e.parent_id = m.id WHERE NOT m.blocked)
-        SELECT id, parent_id, depth, walk, ids, blocked, blocked AND NOT array_contains(slice(ids, 1, size(ids) - 1), id) AS inaccessible FROM met""")
-    open_ = found.where("NOT inaccessible")
-    first = Window.partitionBy("id").orderBy("walk")
-    ranked = open_.withColumn("nth", F.row_number().over(first)).withColumn("again", F.col("blocked") | (F.col("nth") > 1))
-    # A meeting counts only if all of its ancestors' meetings are first ones.
-    firsts = ranked.where("NOT again").select(F.col("id").alias("anc"), F.col("walk").alias("anc_walk"))
-    steps = found.select("id", "walk", F.posexplode(F.slice("ids", F.lit(1), F.size("ids") - 1)).alias("d", "anc"))
-    steps = steps.withColumn("anc_walk", F.slice("walk", F.lit(1), F.col("d")))
-    broken = steps.join(firsts, ["anc", "anc_walk"], "left_anti").select("id", "walk").distinct()
-    pages = ranked.where("NOT again").join(broken, ["id", "walk"], "left_anti").select("id", "parent_id", "depth", "walk")
-    cycles = ranked.where("again").join(broken, ["id", "walk"], "left_anti").select("id", "walk", F.lit("cycle").alias("reason"))
-    closed = found.where("inaccessible").join(broken, ["id", "walk"], "left_anti").select("id", "walk", F.lit("inaccessible").alias("reason"))
-    gaps = cycles.unionByName(closed)
+    edges = cut(edges.select("parent_id", "child_id", F.col("child_pos").cast("long").alias("pos"), F.coalesce("inaccessible", F.lit(False)).alias("closed")))
+    onward = lambda pages: pages.join(edges, pages["id"] == edges["parent_id"]).select("child_id", pages["id"].alias("parent_id"), (F.col("depth") + 1).alias("depth"), F.concat("walk", F.array("pos")).alias("walk"), "closed")
+    pages = spark.range(1).select(F.lit(root).alias("id"), F.lit(None).cast("string").alias("parent_id"), F.lit(0).alias("depth"), F.array().cast("array<bigint>").alias("walk"))
+    changed = pages
+    for _ in range(max_depth):
+        met = onward(changed).where("NOT closed").groupBy(F.col("child_id").alias("id")).agg(F.min(F.struct("walk", "parent_id", "depth")).alias("first"))
+        known = pages.select("id", F.col("walk").alias("known"))
+        changed = cut(met.join(known, "id", "left").where("known IS NULL OR first.walk < known").select("id", "first.parent_id", "first.depth", "first.walk"))
+        if changed.isEmpty():
+            break
+        pages = cut(pages.join(changed.select("id"), "id", "left_anti").unionByName(changed))
+    else:
+        raise ValueError(f"the walk from {root} isn't done after {max_depth} rounds")
+    meetings = onward(pages).select(F.col("child_id").alias("id"), "walk", "closed")
+    cycles = meetings.where("NOT closed").join(pages.select("id", "walk"), ["id", "walk"], "left_anti").select("id", "walk", F.lit("cycle").alias("reason"))
+    gaps = cycles.unionByName(meetings.where("closed").select("id", "walk", F.lit("inaccessible").alias("reason")))
     impact = F.when(F.col("reason") == "cycle", GAPS["cycle"]).otherwise(GAPS["inaccessible"])
     return pages, gaps.select(F.col("id").alias("source_id"), "reason", impact.alias("impact"), "walk")
 

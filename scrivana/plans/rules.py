@@ -52,20 +52,25 @@ def model_assignments(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("preset", "tier", "role", "model", "reasoning").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _assignment_values() -> str:
-    rows = []
-    for tier, changes in rules.TIER_CHANGES.items():
-        for preset in ("recommended", "light", "medium", "high"):
-            base = dict(zip(rules.ROLES, rules.ASSIGNMENTS.get(preset, rules.ASSIGNMENTS["default"]), strict=True)) | (changes if preset == "recommended" else {})
-            rows += [f"('{preset}', '{tier}', '{r}', 'gpt-5.6-{base[r].split()[0]}', '{base[r].split()[1]}')" for r in rules.ROLES]
-    return ", ".join(rows)
-
-
+# What each preset comes to, written out by tier: recommended depends on it, the others don't.
+_ASSIGNED = """
+  ('recommended', 'luna', 'planner', 'gpt-5.6-luna', 'medium'), ('recommended', 'luna', 'planReviewer', 'gpt-5.6-luna', 'medium'), ('recommended', 'luna', 'engineer', 'gpt-5.6-luna', 'medium'),
+  ('recommended', 'luna', 'uiReviewer', 'gpt-5.6-luna', 'medium'), ('recommended', 'luna', 'prWriter', 'gpt-5.6-luna', 'light'), ('recommended', 'luna', 'orchestrator', 'gpt-5.6-luna', 'medium'),
+  ('recommended', 'terra', 'planner', 'gpt-5.6-terra', 'high'), ('recommended', 'terra', 'planReviewer', 'gpt-5.6-terra', 'high'), ('recommended', 'terra', 'engineer', 'gpt-5.6-terra', 'high'),
+  ('recommended', 'terra', 'uiReviewer', 'gpt-5.6-terra', 'high'), ('recommended', 'terra', 'prWriter', 'gpt-5.6-luna', 'light'), ('recommended', 'terra', 'orchestrator', 'gpt-5.6-luna', 'medium'),
+  ('recommended', 'sol', 'planner', 'gpt-5.6-sol', 'high'), ('recommended', 'sol', 'planReviewer', 'gpt-5.6-terra', 'high'), ('recommended', 'sol', 'engineer', 'gpt-5.6-sol', 'high'),
+  ('recommended', 'sol', 'uiReviewer', 'gpt-5.6-terra', 'high'), ('recommended', 'sol', 'prWriter', 'gpt-5.6-luna', 'light'), ('recommended', 'sol', 'orchestrator', 'gpt-5.6-luna', 'medium'),
+  ('light', NULL, 'planner', 'gpt-5.6-luna', 'high'), ('light', NULL, 'planReviewer', 'gpt-5.6-luna', 'medium'), ('light', NULL, 'engineer', 'gpt-5.6-luna', 'medium'),
+  ('light', NULL, 'uiReviewer', 'gpt-5.6-luna', 'medium'), ('light', NULL, 'prWriter', 'gpt-5.6-luna', 'light'), ('light', NULL, 'orchestrator', 'gpt-5.6-luna', 'medium'),
+  ('medium', NULL, 'planner', 'gpt-5.6-terra', 'high'), ('medium', NULL, 'planReviewer', 'gpt-5.6-luna', 'medium'), ('medium', NULL, 'engineer', 'gpt-5.6-terra', 'high'),
+  ('medium', NULL, 'uiReviewer', 'gpt-5.6-terra', 'high'), ('medium', NULL, 'prWriter', 'gpt-5.6-luna', 'light'), ('medium', NULL, 'orchestrator', 'gpt-5.6-luna', 'medium'),
+  ('high', NULL, 'planner', 'gpt-5.6-sol', 'high'), ('high', NULL, 'planReviewer', 'gpt-5.6-sol', 'high'), ('high', NULL, 'engineer', 'gpt-5.6-sol', 'medium'),
+  ('high', NULL, 'uiReviewer', 'gpt-5.6-sol', 'high'), ('high', NULL, 'prWriter', 'gpt-5.6-luna', 'light'), ('high', NULL, 'orchestrator', 'gpt-5.6-luna', 'medium')"""
 MODEL_ASSIGNMENTS = f"""
-SELECT preset, tier, role, model, reasoning, count(*) AS n
+SELECT o.preset, o.tier, role, model, reasoning, count(*) AS n
 FROM (SELECT CASE o_orderpriority WHEN '1-URGENT' THEN 'high' WHEN '2-HIGH' THEN 'medium' WHEN '5-LOW' THEN 'light' ELSE 'recommended' END AS preset,
-             CASE o_orderstatus WHEN 'F' THEN 'luna' WHEN 'O' THEN 'terra' ELSE 'sol' END AS tier FROM orders)
-JOIN (VALUES {_assignment_values()}) v(preset, tier, role, model, reasoning) USING (preset, tier) GROUP BY ALL"""
+             CASE o_orderstatus WHEN 'F' THEN 'luna' WHEN 'O' THEN 'terra' ELSE 'sol' END AS tier FROM orders) o
+JOIN (VALUES {_ASSIGNED}) v(preset, tier, role, model, reasoning) ON v.preset = o.preset AND coalesce(v.tier, o.tier) = o.tier GROUP BY ALL"""
 
 
 def page_policy(spark: SparkSession, d: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -20,3 +20,17 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, **conf: str
     spark = SparkSession.builder.master(f"local[{cores}]").appName("scrivana").config(map=settings).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df computed once and checkpointed: its lineage ends in the shared folder that spark.checkpoint.dir names.
+
+    A local session without one uses a folder of its own; elsewhere the setting is needed, as executors share no disk.
+    """
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(named or "/tmp/checkpoints")
+    return df.checkpoint()

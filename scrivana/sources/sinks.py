@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scrivana.functions.text import replaced, trimmed
+from scrivana.operators.ordering import numbered
 
 
 def write_chunks(index: DataFrame, path: str, by: str) -> None:
@@ -51,10 +52,8 @@ def upserted_links(lines: DataFrame, stems: DataFrame) -> DataFrame:
     head = head.join(F.broadcast(bounds), F.col("pos").between(F.col("first"), F.col("last"))).select(F.lit(0).alias("part"), "pos", "line")
     gap = bounds.where("last IS NOT NULL").select(F.lit(1).alias("part"), F.lit(0).cast("long").alias("pos"), F.lit("").alias("line"))
     links = lines.where(is_link).select(bare.alias("line")).unionByName(stems.select(link(F.col("stem")).alias("line"))).distinct()
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.orderBy(F.lower("line"), "line"))
-    return head.unionByName(gap).unionByName(links.select(F.lit(2).alias("part"), n.cast("long").alias("pos"), "line"))
+    links = numbered(links, [F.lower("line"), F.col("line")], "pos")
+    return head.unionByName(gap).unionByName(links.select(F.lit(2).alias("part"), "pos", "line"))
 
 
 def with_plain_images(text: Column) -> Column:
