@@ -70,3 +70,42 @@ def broken_links(texts: DataFrame, files: DataFrame) -> DataFrame:
     links = links.withColumn("wanted", joined_path(F.regexp_extract("path", "^(.*)/[^/]*$", 1), F.col("target")))
     found = links.join(files.select(F.col("path").alias("wanted")).distinct(), "wanted", "left_semi").where(~F.col("target").startswith("/"))
     return links.join(found.select("path", "target").distinct(), ["path", "target"], "left_anti").select("path", "target")
+
+
+# Keys and plain values of strict front matter.
+_KEY, _VALUE = r"^[a-z][a-z0-9_-]*\z", r"^[A-Za-z0-9][^\r\n]*\z"
+
+
+def strict_front_matter(text: Column) -> Column:
+    """struct(error, entries array<struct<key, value, items>>, body): a head of 'key: value' lines and '  - item' lists.
+
+    The first line that doesn't fit ends the reading; entries and body are null then.
+    """
+    whole = r"\A---\n((?s).*?)\n---\n"
+    head = F.regexp_extract(text, whole, 1)
+    kind = "array<struct<key:string,value:string,items:array<string>>>"
+    state = lambda error, entries, open_: F.struct(error.cast("string").alias("error"), entries.alias("entries"), open_.alias("open"))
+    plain = lambda v: v.rlike(_VALUE) & ~F.contains(v, F.lit(": ")) & ~v.endswith(":") & ~F.contains(v, F.lit(" #"))
+    none = F.lit(None).cast("string")
+    fail = lambda a, why: state(why, a["entries"], F.lit(False))
+    unfilled = lambda a: a["open"] & (F.size(F.element_at(a["entries"], -1)["items"]) == 0)
+
+    def step(a: Column, line: Column) -> Column:
+        item, last = F.substring(line, 5, 1 << 30), F.element_at(a["entries"], -1)
+        grown = F.struct(last["key"].alias("key"), last["value"].alias("value"), F.concat(last["items"], F.array(item)).alias("items"))
+        listed = F.when(~a["open"], fail(a, F.concat(F.lit("unexpected list item: "), line))).when(~plain(item), fail(a, F.concat(F.lit("invalid value: "), item))).otherwise(state(none, F.concat(F.slice(a["entries"], F.lit(1), F.size(a["entries"]) - 1), F.array(grown)), F.lit(True)))
+        key, value = F.regexp_extract(line, r"^([^:]+):(?: (.*))?\z", 1), F.regexp_extract(line, r"^[^:]+: (.*)\z", 1)
+        has_value = line.rlike(r"^[^:]+: ")
+        entry = F.struct(key.alias("key"), F.when(has_value, value).alias("value"), F.array().cast("array<string>").alias("items"))
+        added = (
+            F.when(unfilled(a), fail(a, F.lit("empty list"))).when(key == "", fail(a, F.concat(F.lit("invalid entry: "), line))).when(~key.rlike(_KEY), fail(a, F.concat(F.lit("invalid key: "), key)))
+            .when(F.exists(a["entries"], lambda e: e["key"] == key), fail(a, F.concat(F.lit("duplicate key: "), key))).when(has_value & ~plain(value), fail(a, F.concat(F.lit("invalid value: "), value)))
+            .otherwise(state(none, F.concat(a["entries"], F.array(entry)), ~has_value))
+        )
+        return F.when(a["error"].isNotNull(), a).when(line.startswith("  - "), listed).otherwise(added)
+
+    begin = state(none, F.array().cast(kind), F.lit(False))
+    read = F.aggregate(F.split(head, "\n"), begin, step, lambda a: F.struct(F.when(a["error"].isNotNull(), a["error"]).when(unfilled(a), F.lit("empty list")).alias("error"), a["entries"].alias("entries")))
+    error = F.when(~text.rlike(whole), "invalid front matter").when(F.contains(head, F.lit("\t")), "tabs are not supported").otherwise(read["error"])
+    fine = error.isNull()
+    return F.struct(error.alias("error"), F.when(fine, read["entries"]).alias("entries"), F.when(fine, trimmed(F.regexp_replace(text, whole, ""))).alias("body"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scrivana.plans import documents, notes, provenance, rules
+from scrivana.plans import documents, flows, notes, provenance, rules
 
-_ALL = documents.QUERIES | notes.QUERIES | provenance.QUERIES | rules.QUERIES
+_ALL = documents.QUERIES | notes.QUERIES | flows.QUERIES | provenance.QUERIES | rules.QUERIES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
