@@ -57,5 +57,9 @@ def without_hidden(text: Column, hidden: str = HIDDEN) -> Column:
 
 def projected(value: Column, *fields: str) -> Column:
     """JSON of some fields of a VARIANT only; those that are missing are null."""
-    parts = [F.concat(F.lit(f'"{f}":'), F.coalesce(F.to_json(F.try_variant_get(value, f"$['{f}']", "variant")), F.lit("null"))) for f in fields]
-    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+
+    def of(v: Column) -> Column:
+        parts = [F.concat(F.lit(f'"{f}":'), F.coalesce(F.to_json(F.try_variant_get(v, f"$['{f}']", "variant")), F.lit("null"))) for f in fields]
+        return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+
+    return F.transform(F.array(value), of)[0]  # the value is parsed once, not for each field

@@ -39,12 +39,14 @@ def check_schema(schema: dict, path: str = "$") -> None:
 
 def kind(value: Column) -> Column:
     """The JSON type of a VARIANT: object, array, string, boolean, null, integer or number."""
-    name = F.schema_of_variant(value)
-    whole = F.try_variant_get(value, "$", "double")
-    simple = F.when(name.startswith("OBJECT"), "object").when(name.startswith("ARRAY"), "array")
-    for spark_name, json_name in _KIND.items():
-        simple = simple.when(name == spark_name, json_name)
-    return simple.when(whole == F.floor(whole), "integer").when(whole.isNotNull(), "number")
+
+    def of(v: Column) -> Column:
+        simple = F.when(v["name"].startswith("OBJECT"), "object").when(v["name"].startswith("ARRAY"), "array")
+        for spark_name, json_name in _KIND.items():
+            simple = simple.when(v["name"] == spark_name, json_name)
+        return simple.when(v["whole"] == F.floor(v["whole"]), "integer").when(v["whole"].isNotNull(), "number")
+
+    return _let(F.struct(F.schema_of_variant(value).alias("name"), F.try_variant_get(value, "$", "double").alias("whole")), of)
 
 
 def _named(types: list[str]) -> str:
@@ -61,10 +63,16 @@ def _let(value: Column, body) -> Column:
 
 
 def errors(schema: dict, value: Column, path: Column | str = "$") -> Column:
-    """array<string> of the errors of a VARIANT."""
+    """array<string> of the errors of a VARIANT; what the checks look at is worked out once."""
     at = F.lit(path) if isinstance(path, str) else path
+    keys = F.map_keys(F.try_variant_get(value, "$", "map<string,variant>"))
+    seen = F.struct(value.alias("value"), kind(value).alias("of"), F.try_variant_get(value, "$", "string").alias("text"), keys.alias("keys"), at.alias("at"))
+    return _let(seen, lambda v: _errors(schema, v))
+
+
+def _errors(schema: dict, v: Column) -> Column:
+    value, of, text, at = v["value"], v["of"], v["text"], v["at"]
     types = [schema["type"]] if isinstance(schema.get("type"), str) else list(schema.get("type", []))
-    of, text = kind(value), F.try_variant_get(value, "$", "string")
     found: list[Column] = []
     if "enum" in schema:
         allowed = [F.lit(e if isinstance(e, str) else str(e)) for e in schema["enum"]]
@@ -77,7 +85,7 @@ def errors(schema: dict, value: Column, path: Column | str = "$") -> Column:
         found.append(_error(of.isin("integer", "number") & (F.try_variant_get(value, "$", "double") < schema["minimum"]), F.concat(at, F.lit(f" must be at least {schema['minimum']}"))))
     if "format" in schema:
         found.append(_error((of != "string") | ~strict_timestamp(text), F.concat(at, F.lit(" must be an ISO-8601 timestamp"))))
-    has = lambda name: F.array_contains(F.map_keys(F.try_variant_get(value, "$", "map<string,variant>")), name)
+    has = lambda name: F.coalesce(F.array_contains(v["keys"], name), F.lit(False))
     for name in schema.get("required", []):
         found.append(_error((of == "object") & ~has(name), F.concat(at, F.lit(f".{name} is required"))))
     for name, child in schema.get("properties", {}).items():
@@ -96,8 +104,7 @@ def errors(schema: dict, value: Column, path: Column | str = "$") -> Column:
 def validated(schema: dict, text: Column, *more: Column) -> Column:
     """array<string> of the errors of a JSON text; `more` are texts of further checks, null where they pass."""
     check_schema(schema)
-    given = F.try_parse_json(text)
-    own = F.when(given.isNull(), F.array(F.lit("$ must be JSON"))).otherwise(errors(schema, given))
+    own = _let(F.try_parse_json(text), lambda given: F.when(given.isNull(), F.array(F.lit("$ must be JSON"))).otherwise(errors(schema, given)))
     return F.concat(own, F.filter(F.array(*more), lambda x: x.isNotNull())) if more else own
 
 

@@ -107,7 +107,8 @@ def dry_run_report(runs: DataFrame) -> DataFrame:
         F.lit(',"findings":'), join(F.transform(listed(F.col("findings")), lambda x: projected(x, "id", "severity", "summary"))), F.lit("}"),
     )
     wrong = lambda c, schema: F.flatten(F.transform(listed(c), lambda x: validated(schema, F.to_json(x))))
-    return runs.withColumn("report", redacted(body)).withColumn("errors", F.concat(wrong(F.col("verification"), EVIDENCE_SCHEMA), wrong(F.col("findings"), FINDING_SCHEMA)))
+    # The text is a column of its own before it is redacted, so that it is put together once.
+    return runs.withColumn("report", body).withColumn("report", redacted(F.col("report"))).withColumn("errors", F.concat(wrong(F.col("verification"), EVIDENCE_SCHEMA), wrong(F.col("findings"), FINDING_SCHEMA)))
 
 
 def pr_title(component: Column) -> Column:
