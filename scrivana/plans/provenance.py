@@ -114,14 +114,14 @@ RELEVANT_SOURCES = f"SELECT id, kind, uri FROM {_SQL_INDEX} WHERE {_SQL_MATCH}"
 
 
 def source_gaps(spark: SparkSession, d: str) -> DataFrame:
-    """Kinds without any source about some words that few texts have, whole texts searched."""
-    _, gaps, _ = sources.relevant(_index(spark, d), ["released under"])
+    """Kinds without any source about a word that texts of one language have, whole texts searched."""
+    _, gaps, _ = sources.relevant(_index(spark, d), ["avec"])
     return gaps
 
 
 SOURCE_GAPS = f"""
 SELECT 'no relevant ' || k || ' source' AS reason, k || ' comparison is unavailable' AS impact FROM (VALUES ('figma'), ('ui-library'), ('crm-code')) v(k)
-WHERE k NOT IN (SELECT kind FROM {_SQL_INDEX} WHERE contains(lower(concat_ws(' ', id, uri, title, source, lang)), 'released under'))"""
+WHERE k NOT IN (SELECT kind FROM {_SQL_INDEX} WHERE contains(lower(concat_ws(' ', id, uri, title, source, lang)), 'avec'))"""
 
 
 def ambiguous_topics(spark: SparkSession, d: str) -> DataFrame:
