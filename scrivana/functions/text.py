@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column
@@ -64,10 +66,23 @@ def _unescape(text: pd.Series) -> pd.Series:
     return text.map(html.unescape, na_action="ignore")
 
 
-def strip_html_full(markup: Column) -> Column:
-    """strip_html with every entity of HTML 5; an Arrow function runs on the rows that have any."""
+_CLOSED = re.compile(r"&(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
+
+
+@F.pandas_udf(StringType())
+def _unescape_closed(text: pd.Series) -> pd.Series:
+    known = lambda m: html.unescape(m[0]) if m[1][0] == "#" or f"{m[1]};" in html5 else m[0]
+    return text.map(lambda t: _CLOSED.sub(known, t), na_action="ignore")
+
+
+def strip_html_full(markup: Column, closed: bool = False) -> Column:
+    """strip_html with every entity of HTML 5; an Arrow function runs on the rows that have any.
+
+    closed: only entities that end with ';', as in XML. HTML 5 also reads some that don't, so of an '&amp;' that was
+    cut off in '&amp' it makes '&'.
+    """
     text = _without_tags(markup)
-    return _tidy(F.when(F.contains(text, F.lit("&")), _unescape(text)).otherwise(text))
+    return _tidy(F.when(F.contains(text, F.lit("&")), (_unescape_closed if closed else _unescape)(text)).otherwise(text))
 
 
 def split_words(text: Column) -> Column:
