@@ -31,14 +31,15 @@ def files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path).select("path", "content", "length")
 
 
-def texts(given: DataFrame) -> tuple[DataFrame, DataFrame]:
+def texts(given: DataFrame, closed: bool = False) -> tuple[DataFrame, DataFrame]:
     """(texts, rejects) of files (path, content): text and HTML files as text with word and character counts.
 
     Files of an unsupported kind, and of kinds that need a converter of their own, are rejects with a reason.
+    closed: see strip_html_full.
     """
     kinds = given.withColumn("kind", kind_of(F.col("path")))
     raw = F.try_validate_utf8(F.decode("content", "UTF-8"))
-    read = kinds.where(F.col("kind").isin("text", "html")).withColumn("text", F.when(F.col("kind") == "html", T.strip_html_full(raw)).otherwise(raw))
+    read = kinds.where(F.col("kind").isin("text", "html")).withColumn("text", F.when(F.col("kind") == "html", T.strip_html_full(raw, closed)).otherwise(raw))
     out = read.select("path", "kind", "text", T.word_count(F.col("text")).alias("words"), F.length("text").cast("long").alias("chars"), T.extraction_note(F.col("text")).alias("note"))
     reason = F.when(F.col("kind").isNull(), "unsupported input").otherwise("needs a converter")
     return out, kinds.where(~F.coalesce(F.col("kind").isin("text", "html", "epub"), F.lit(False))).select("path", "kind", reason.alias("reason"))
