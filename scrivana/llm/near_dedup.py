@@ -13,10 +13,11 @@
 4. The rest: within a bucket, two members other than the hub may be linked though not through the hub. Only pairs in
    different components matter, so members outside of the bucket's largest component are held against all members:
    a few strays beside a large component cost a row for each member, not one for each pair. Both sides are cut into
-   chunks of about CHUNK members, and each pair of chunks is compared by sketches alone, in memory. Of a member's
-   partners in one other component only the closest become rows, and are confirmed on the full sets; components are
-   found again, and where a member had more partners than that and still is apart, more of them follow. The
-   loop ends when no partner is left out, so no link between different components is lost.
+   chunks of about CHUNK members, and each pair of chunks (a cell) is compared in memory, first by sketches alone. No
+   pair becomes a row: a cell gives the members that have a partner, at most one row for each. Those get their full
+   sets, are cut into chunks by bytes as well, and their cells try every pair that passes the sketches, the closest
+   first, on the full sets. A link joins two components within the cell, and pairs inside of one aren't tried any
+   more, so a cell gives fewer links than it has members, and no link between different components is lost.
 
 Buckets may hold any share of the rows: joins on the bucket deal a heavy one over salts. Joins on a set's hash, where a
 hub has very many rows, are left to the adaptive skew join.
@@ -51,7 +52,9 @@ SAMPLES = BANDS * ROWS
 #: Sketches whose estimate is further than this below the threshold aren't confirmed.
 MARGIN = 0.25
 CHUNK = 1024
-#: Partners of a member in one other component that become rows at first, and how many times more in each next round.
+#: Bytes of full sets in a chunk.
+SET_BYTES = 1 << 20
+#: Partners that are tried before those that have been joined meanwhile are left out, and how many times more each next time.
 CLOSEST, MORE = 16, 8
 #: Locators with their set's hash are broadcast up to this many rows of 32 bytes; beyond, texts are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -222,71 +225,117 @@ def hub_pairs(buckets: DataFrame, classes: DataFrame, threshold: int = THRESHOLD
     return both.where(near & nearer).select("a", "b")
 
 
-def mixed_buckets(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, largest, chunks, few_chunks) of the buckets whose members, without the hub, are in several components."""
-    members = buckets.where("node <> hub").join(labels, "node", "left").select("key", F.coalesce("label", "node").alias("label"))
-    of_label = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+def chunked(members: DataFrame, weight: Column, width: int) -> DataFrame:
+    """(key, largest, chunks, few_chunks) of the buckets whose members (key, label) are in several components.
+
+    A chunk has about `width` of the members' weight; few_chunks are those without the largest component.
+    """
+    of_label = members.groupBy("key", "label").agg(F.sum(weight).alias("n"))
     of_key = of_label.groupBy("key").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("n"))
-    chunks = lambda n: F.ceil(n / CHUNK).cast("int")
+    chunks = lambda n: F.ceil(n / width).cast("int")
     return of_key.where(F.col("n") > F.col("most.n")).select("key", F.col("most.label").alias("largest"), chunks(F.col("n")).alias("chunks"), chunks(F.col("n") - F.col("most.n")).alias("few_chunks"))
 
 
-def rest_pairs(buckets: DataFrame, classes: DataFrame, labels: DataFrame, hot: DataFrame, threshold: int = THRESHOLD, closest: int = CLOSEST) -> DataFrame:
-    """(a, b, cut): members of a bucket other than the hub, in different components, where the sketches pass.
+def mixed_buckets(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, largest, chunks, few_chunks) of the buckets whose members, without the hub, are in several components."""
+    members = buckets.where("node <> hub").join(labels, "node", "left").select("key", F.coalesce("label", "node").alias("label"))
+    return chunked(members, F.lit(1), CHUNK)
 
-    For each member outside of the largest component the closest ones of each other component; cut: it had more.
-    """
-    members = buckets.where("node <> hub").select("key", "salt", "node").join(for_salts(mixed_buckets(buckets, labels), "key", hot), ["key", "salt"])
-    members = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    members = members.join(classes.select("node", "sketch", "bitmap", F.col("n").alias("size")), "node")
+
+def cells(members: DataFrame, *held: str) -> DataFrame:
+    """(key, i, j, members) of members (key, node, label) with chunked's columns: strays of chunk i beside members of chunk j."""
     chunk = lambda seed, of: F.pmod(F.xxhash64(F.lit(seed), "node"), F.col(of)).cast("int")
     cell = lambda i, j, few: F.struct(i.alias("i"), j.alias("j"), F.lit(few).alias("few"))
     upto = lambda of: F.sequence(F.lit(0), F.col(of) - 1)
     everywhere = F.transform(upto("few_chunks"), lambda i: cell(i, chunk(1, "chunks"), False))
     strays = F.transform(upto("chunks"), lambda j: cell(chunk(2, "few_chunks"), j, True))
     placed = members.withColumn("cell", F.explode(F.when(F.col("label") == F.col("largest"), everywhere).otherwise(F.concat(everywhere, strays))))
-    cells = placed.groupBy("key", "cell.i", "cell.j").agg(F.collect_list(F.struct("node", "label", "cell.few", "sketch", "bitmap", "size")).alias("members"))
-    limit = most_bits(threshold)
+    return placed.groupBy("key", "cell.i", "cell.j").agg(F.collect_list(F.struct("node", "label", "cell.few", *held)).alias("members"))
 
-    def work(batches):
+
+def rest_pairs(buckets: DataFrame, classes: DataFrame, labels: DataFrame, hot: DataFrame, spark: SparkSession, rows: DataFrame, threshold: int = THRESHOLD, closest: int = CLOSEST, more: int = MORE) -> DataFrame:
+    """Links (a, b) between members of a bucket other than the hub that join all components which a link joins; written once."""
+    members = buckets.where("node <> hub").select("key", "salt", "node").join(for_salts(mixed_buckets(buckets, labels), "key", hot), ["key", "salt"])
+    members = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    members = members.join(classes.select("node", "sketch", "bitmap", F.col("n").alias("size")), "node")
+    limit, held = most_bits(threshold), ["salt", "sketch", "bitmap", "size"]
+
+    def near(batches):
+        for b in batches:
+            for key, k in zip(b.column("key"), range(b.num_rows), strict=True):
+                cell = Cell(b.column("members")[k].values, limit, threshold)
+                found = cell.given.filter(pa.array(cell.with_partner()))
+                yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * len(found), pa.int64()), *[found.field(c) for c in ("node", "label", *held)]], names=["key", "node", "label", *held])
+
+    partnered = cells(members, *held).mapInArrow(near, "key bigint, node binary, label binary, salt int, sketch array<bigint>, bitmap array<bigint>, size bigint")
+    partnered = staged(spark, partnered.dropDuplicates(["key", "node"]), "with-partner")
+    nodes = staged(spark, classes.select("node", "loc").join(partnered.select("node").distinct(), "node", "left_semi"), "to-confirm")
+    sets = sets_of(spark, rows, nodes)
+    sized = partnered.join(for_salts(chunked(partnered, F.col("size") * 8 + SET_BYTES // CHUNK, SET_BYTES), "key", hot), ["key", "salt"])
+
+    def linked(batches):
         for b in batches:
-            lists = b.column("members")
             for k in range(b.num_rows):
-                yield from _near_pairs(lists[k].values, limit, threshold, closest)
-
-    return cells.mapInArrow(work, "a binary, b binary, cut boolean")
-
-
-def _near_pairs(cell: pa.StructArray, limit: int, threshold: int, closest: int):
-    """The pairs of one cell: each stray with the closest members of each other component."""
-    nodes, few = cell.field("node").to_pylist(), np.array(cell.field("few").to_pylist())
-    bits = lambda name: np.array(cell.field(name).flatten(), dtype=np.int64).view(np.uint64).reshape(len(nodes), -1)
-    sketches, bitmaps, size = bits("sketch"), bits("bitmap"), np.array(cell.field("size"), dtype=np.float64)
-    numbers: dict[bytes, int] = {}
-    label = np.array([numbers.setdefault(x, len(numbers)) for x in cell.field("label").to_pylist()])
-    members, first, second, cut = np.flatnonzero(~few), [], [], []
-    for x in np.flatnonzero(few):
-        near = members[label[members] != label[x]]
-        near = near[np.bitwise_count(sketches[near] ^ sketches[x]).sum(1) <= limit]
-        apart = np.bitwise_count(bitmaps[near] ^ bitmaps[x]).sum(1)
-        ok = apart <= most_set_bits(size[x] + size[near], threshold)
-        near, apart = near[ok], apart[ok]
-        order = np.lexsort((apart, label[near]))
-        near = near[order]
-        start = np.flatnonzero(np.diff(label[near], prepend=-1))
-        count = np.diff(np.append(start, len(near)))
-        rank = np.arange(len(near)) - np.repeat(start, count)
-        more = np.repeat(count > closest, count)
-        for y, m in zip(near[rank < closest].tolist(), more[rank < closest].tolist(), strict=True):
-            first.append(min(nodes[x], nodes[y]))
-            second.append(max(nodes[x], nodes[y]))
-            cut.append(m)
-    if first:
-        yield pa.RecordBatch.from_arrays([pa.array(first, pa.binary()), pa.array(second, pa.binary()), pa.array(cut)], names=["a", "b", "cut"])
+                first, second = Cell(b.column("members")[k].values, limit, threshold).links(closest, more)
+                yield pa.RecordBatch.from_arrays([pa.array(first, pa.binary()), pa.array(second, pa.binary())], names=["a", "b"])
+
+    links = staged(spark, cells(sized.join(sets, "node"), "sketch", "bitmap", "size", "found").mapInArrow(linked, "a binary, b binary"), "rest-links")
+    forget(spark, partnered, nodes, sets)
+    return links
+
+
+class Cell:
+    """Strays (few) of a bucket beside members of it, to be compared in memory."""
+
+    def __init__(self, given: pa.StructArray, limit: int, threshold: int):
+        self.given, self.limit, self.threshold = given, limit, threshold
+        few = np.array(given.field("few").to_pylist(), dtype=bool)
+        self.strays, self.members = np.flatnonzero(few), np.flatnonzero(~few)
+        bits = lambda name: np.array(given.field(name).flatten(), dtype=np.int64).view(np.uint64).reshape(len(few), -1)
+        self.sketches, self.bitmaps, self.size = bits("sketch"), bits("bitmap"), np.array(given.field("size"), dtype=np.float64)
+        numbers: dict[bytes, int] = {}
+        self.label = np.array([numbers.setdefault(x, len(numbers)) for x in given.field("label").to_pylist()], dtype=np.int64)
+
+    def near(self, x: int) -> np.ndarray:
+        """The members in other components than stray x whose sketches pass, the closest first."""
+        near = self.members[self.label[self.members] != self.label[x]]
+        near = near[np.bitwise_count(self.sketches[near] ^ self.sketches[x]).sum(1) <= self.limit]
+        apart = np.bitwise_count(self.bitmaps[near] ^ self.bitmaps[x]).sum(1)
+        ok = apart <= most_set_bits(self.size[x] + self.size[near], self.threshold)
+        return near[ok][np.argsort(apart[ok], kind="stable")]
+
+    def with_partner(self) -> np.ndarray:
+        """Whether each one has a partner that passes the sketches."""
+        out = np.zeros(len(self.label), bool)
+        for x in self.strays:
+            near = self.near(x)
+            out[near] = True
+            out[x] |= len(near) > 0
+        return out
+
+    def links(self, closest: int, more: int) -> tuple[list[bytes], list[bytes]]:
+        """Links, confirmed on the full sets, that join components; each joins two that no earlier one has joined."""
+        nodes, found = self.given.field("node").to_pylist(), self.given.field("found")
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in found]
+        first, second = [], []
+        for x in self.strays:
+            near, take = self.near(x), closest
+            while len(near):
+                for y in near[:take]:
+                    if self.label[x] == self.label[y]:
+                        continue
+                    common = common_of(sets[x], sets[y])
+                    if 100 * common >= self.threshold * (len(sets[x]) + len(sets[y]) - common):
+                        first.append(min(nodes[x], nodes[y]))
+                        second.append(max(nodes[x], nodes[y]))
+                        self.label[self.label == self.label[y]] = self.label[x]
+                near = near[take:]
+                near, take = near[self.label[near] != self.label[x]], take * more
+        return first, second
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, decisions, links) with links from `threshold` percent on: decisions hold loc, doc_id, n_shingles, component_id, keep_loc; links are between sets."""
+    """(rows, decisions, links) with links from `threshold` percent on: decisions hold loc, doc_id, n_shingles, component_id, keep_loc; links are between sets, and join the components."""
     rows, found = signatures(spark, docs)
     place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "loc")
     classes = found.where("n_shingles > 0").groupBy("node").agg(F.min(F.struct(place.alias("place"), "bands", "sketch", "bitmap", F.col("n_shingles").alias("n"))).alias("of"))
@@ -301,20 +350,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, threshold: int = THRESHOLD)
     buckets = staged(spark, several.select("key", "salt", "node").join(for_salts(hubs, "key", hot), ["key", "salt"]), "buckets")
     tested = staged(spark, hub_pairs(buckets, classes, threshold), "hub-pairs")
     links = confirmed(spark, rows, classes, tested, threshold)
-    tested = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    labels, closest = components(spark, links), CLOSEST
-    while True:
-        passed = staged(spark, rest_pairs(buckets, classes, labels, hot, threshold, closest), "rest-pairs")
-        more = staged(spark, passed.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "rest-new")
-        if not more.isEmpty():
-            extra = confirmed(spark, rows, classes, more, threshold)
-            if not extra.isEmpty():
-                links = links.unionByName(extra)
-                labels = components(spark, links)
-        if passed.where("cut").isEmpty():
-            break
-        tested, closest = tested.unionByName(more), closest * MORE
-    forget(spark, several, buckets, passed)
+    labels = components(spark, links)
+    rest = rest_pairs(buckets, classes, labels, hot, spark, rows, threshold, CLOSEST, MORE)
+    if not rest.isEmpty():
+        links = links.unionByName(rest)
+        labels = components(spark, links)
+    forget(spark, several, buckets, tested)
     grouped = classes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "place")
     lowest = grouped.groupBy("label").agg(F.min("place").alias("first"))
     known = grouped.join(lowest, "label").select("node", "first")

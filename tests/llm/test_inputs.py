@@ -165,6 +165,33 @@ def test_partners_beyond_the_closest_ones_follow(spark, monkeypatch):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows)
 
 
+def test_pairs_in_a_bucket_make_no_rows(spark, monkeypatch):
+    """Of many texts that are all nearly linked, rows are members and links, not pairs."""
+    rng = random.Random(11)
+    base = words(rng, 400).split()
+    rows = []
+    for k in range(60):
+        w = list(base)
+        for at in rng.sample(range(0, 400, 5), 4):
+            w[at] = f"y{k}"
+        rows.append((k, " ".join(w), "s"))
+    made, in_buckets = {}, {}
+    real = near_dedup.staged
+
+    def counted(spark, df, name):
+        out = real(spark, df, name)
+        if name in ("rest-pairs", "with-partner", "rest-links"):
+            made[name] = out.count()
+        elif name == "buckets":
+            in_buckets["rows"] = out.count()
+        return out
+
+    monkeypatch.setattr(near_dedup, "staged", counted)
+    got = near_dedup.op4(spark, spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows)
+    assert made and max(made.values()) <= in_buckets["rows"] and made.get("rest-links", 0) < 60 * 25
+
+
 def test_heavy_keys_are_dealt_over_salts(spark):
     df = spark.range(1000).select((F.col("id") % 50 * (F.col("id") >= 500).cast("int")).alias("key"), "id")
     hot = common.heavy(spark, df, "key", width=100, most=1_000_000)
