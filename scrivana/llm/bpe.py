@@ -26,6 +26,8 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from scrivana.llm.common import lean
+
 #: Texts above this many characters are cut into pieces of about this size.
 PIECE_CHARS = 20_000
 #: Matches above this many bytes are merged with a heap.
@@ -168,7 +170,7 @@ def round_trip(spark: SparkSession, docs: DataFrame, rank_path: str, pattern: st
             yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
     slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    return slim.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)
+    return slim.mapInArrow(lean(run), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)
 
 
 def op2(spark: SparkSession, docs: DataFrame, rank_path: str | None = None) -> DataFrame:

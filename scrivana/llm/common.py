@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -150,6 +152,23 @@ def words(text: Column) -> Column:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, WORD_BREAK, -1))
 
 
+def lean(work):
+    """work (a function of an iterator of batches) that gives freed memory back to the system when a task ends.
+
+    Spark keeps Python workers for later tasks and stages, and their allocators keep what they have had.
+    """
+
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # where the C library isn't glibc
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def conf_during(spark: SparkSession, **values: str):
     """Set session options for the length of a with block, then put back what was there."""
 

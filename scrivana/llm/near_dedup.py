@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivana.llm.common import LOC, for_salts, forget, heavy, packed, salted, staged
+from scrivana.llm.common import LOC, for_salts, forget, heavy, lean, packed, salted, staged
 from scrivana.llm.graph import components
 
 SHINGLE = 5
@@ -159,7 +159,7 @@ def signatures(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFra
                 yield pa.RecordBatch.from_arrays([part.column("loc"), part.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64())), pa.array(bitmaps, pa.list_(pa.int64()))], names=["loc", "doc_id", "n_shingles", "node", "bands", "sketch", "bitmap"])
 
     slim = rows.select("loc", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").alias("text"))
-    return rows, staged(spark, slim.mapInArrow(work, f"loc {LOC}, doc_id bigint, n_shingles bigint, node binary, bands array<bigint>, sketch array<bigint>, bitmap array<bigint>"), "signatures")
+    return rows, staged(spark, slim.mapInArrow(lean(work), f"loc {LOC}, doc_id bigint, n_shingles bigint, node binary, bands array<bigint>, sketch array<bigint>, bitmap array<bigint>"), "signatures")
 
 
 def differing(a: Column, b: Column) -> Column:
@@ -178,7 +178,7 @@ def sets_of(spark: SparkSession, rows: DataFrame, nodes: DataFrame) -> DataFrame
                 part = b.slice(at, 512)
                 yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([shingles(t).tobytes() for t in part.column("text").to_pylist()], pa.binary())], names=["node", "found"])
 
-    return staged(spark, chosen.mapInArrow(work, "node binary, found binary"), "full-sets")
+    return staged(spark, chosen.mapInArrow(lean(work), "node binary, found binary"), "full-sets")
 
 
 def confirmed(spark: SparkSession, rows: DataFrame, classes: DataFrame, pairs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -202,7 +202,7 @@ def confirmed(spark: SparkSession, rows: DataFrame, classes: DataFrame, pairs: D
                     keep.append(100 * common >= threshold * (len(of_last) + len(other) - common))
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], names=["a", "b"]).filter(pa.array(keep))
 
-    links = staged(spark, both.mapInArrow(work, "a binary, b binary"), "links")
+    links = staged(spark, both.mapInArrow(lean(work), "a binary, b binary"), "links")
     forget(spark, nodes, sets)
     return links
 
@@ -267,7 +267,7 @@ def rest_pairs(buckets: DataFrame, classes: DataFrame, labels: DataFrame, hot: D
                 found = cell.given.filter(pa.array(cell.with_partner()))
                 yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * len(found), pa.int64()), *[found.field(c) for c in ("node", "label", *held)]], names=["key", "node", "label", *held])
 
-    partnered = cells(members, *held).mapInArrow(near, "key bigint, node binary, label binary, salt int, sketch array<bigint>, bitmap array<bigint>, size bigint")
+    partnered = cells(members, *held).mapInArrow(lean(near), "key bigint, node binary, label binary, salt int, sketch array<bigint>, bitmap array<bigint>, size bigint")
     partnered = staged(spark, partnered.dropDuplicates(["key", "node"]), "with-partner")
     nodes = staged(spark, classes.select("node", "loc").join(partnered.select("node").distinct(), "node", "left_semi"), "to-confirm")
     sets = sets_of(spark, rows, nodes)
@@ -279,7 +279,7 @@ def rest_pairs(buckets: DataFrame, classes: DataFrame, labels: DataFrame, hot: D
                 first, second = Cell(b.column("members")[k].values, limit, threshold).links(closest, more)
                 yield pa.RecordBatch.from_arrays([pa.array(first, pa.binary()), pa.array(second, pa.binary())], names=["a", "b"])
 
-    links = staged(spark, cells(sized.join(sets, "node"), "sketch", "bitmap", "size", "found").mapInArrow(linked, "a binary, b binary"), "rest-links")
+    links = staged(spark, cells(sized.join(sets, "node"), "sketch", "bitmap", "size", "found").mapInArrow(lean(linked), "a binary, b binary"), "rest-links")
     forget(spark, partnered, nodes, sets)
     return links
 
