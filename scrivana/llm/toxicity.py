@@ -82,7 +82,7 @@ class Model:
 class Scorer:
     """Scores texts; keeps what it has found about up to MOST words."""
 
-    MOST = 1_000_000
+    MOST = 500_000
 
     def __init__(self, model: Model):
         self.model, self.known = model, {}
@@ -313,7 +313,7 @@ def scored(spark: SparkSession, rows: DataFrame, model: Model, keep: str = "doc_
             scores = [scorer.score(column[k].as_py() or "") for k in range(b.num_rows)]
             yield pa.RecordBatch.from_arrays([b.column(keep), pa.array(scores, pa.float64())], names=[keep, "score"])
 
-    return rows.select(keep, "text").mapInArrow(work, f"{keep} bigint, score double")
+    return rows.select(keep, "text").mapInArrow(lean(work), f"{keep} bigint, score double")
 
 
 def model_for(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Model:

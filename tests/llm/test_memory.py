@@ -5,7 +5,14 @@ import gc
 from pyspark.sql import functions as F
 
 from scrivana.llm import common, toxicity
-from scrivana.llm.toxicity import Scorer
+from scrivana.llm.toxicity import Model, Scorer
+
+
+def test_a_scorer_keeps_few_words():
+    scorer = Scorer(Model())
+    for at in range(0, 600_000, 1000):
+        scorer.score(" ".join(f"w{k}" for k in range(at, at + 1000)))
+    assert len(scorer.known) <= 500_000
 
 
 def test_no_scorer_outlives_the_stage(spark, tmp_path):
